@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import byte_bpe, dac, token_count
+from sedimenta.llm import byte_bpe, dac, neardup, token_count
 from sedimenta.session import ship
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -27,12 +27,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_token_counts, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_files, op3_token_counts, op7_near_duplicates, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
