@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.token_count import LONG_PIECE, TABLE_PIECES
+from sedimenta.llm.token_count import LONG_PIECE
 
+TABLE_WORDS = 400_000
 #: Fixed value: the pattern of the vocabulary's pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -102,7 +103,7 @@ class Codec:
     def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
         for text in texts:
             words = self.words(text)
-            if len(self.new) > TABLE_PIECES:
+            if len(self.new) > TABLE_WORDS:
                 self.old, self.new = self.new, {}
             new, long = self.new, []
             for word in set(words).difference(new):

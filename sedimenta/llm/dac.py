@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.token_count import PieceTable, by_bytes, drops_spaces, library, utf8
+from sedimenta.llm.token_count import PieceTable, by_bytes, drops_spaces, library, packed, utf8
 from sedimenta.session import scratch
 
 MAGIC = b"SDAC"
@@ -125,7 +125,7 @@ class Shard:
 def _encoder(path: str):
     """A function from UTF-8 texts to uint32 id arrays in bytes."""
     if drops_spaces(path):
-        table = PieceTable(path, lambda ids: np.array(ids, "<u4").tobytes())
+        table = PieceTable(path, packed)
 
         def encode(texts) -> Iterator[bytes]:
             for run in by_bytes(texts):

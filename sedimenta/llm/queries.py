@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sedimenta.llm import byte_bpe, dac, neardup, token_count
-from sedimenta.session import ship
+from sedimenta.llm import byte_bpe, chat, dac, neardup, token_count, topk, warc
+from sedimenta.session import scratch, ship
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,10 +24,31 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_file_index(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+#: A conversation of control strings, added to the table.
+ESCAPES = "\\### Assistant: </turn> ok"
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", ESCAPES), (-7, 1, "assistant", ESCAPES)], rows.schema)
+    out = scratch(spark, "chat")
+    chat.format_turns(chat.canonical_turns(rows.unionByName(extra))).write.parquet(out)
+    return chat.conversation_digests(spark.read.parquet(out))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return topk.exact_topk(vectors.where("id % 100 = 0"), vectors).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -36,7 +58,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_token_counts, op7_near_duplicates, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_files, op2_warc, op3_token_counts, op5_chat, op6_exact_topk, op7_near_duplicates, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

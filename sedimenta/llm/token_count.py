@@ -14,16 +14,19 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 4 << 20
-TABLE_PIECES = 400_000
+BATCH_BYTES = 6 << 20
+TABLE_PIECES = 1_000_000
 LONG_PIECE = 256
 LIMIT = 2048
 
@@ -58,32 +61,78 @@ def drops_spaces(path: str) -> bool:
     return bool(kept) and not any(c.isspace() or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []) for c in t["content"])
 
 
+#: A word of letters that lower-casing and composition treat one by one, and a mark that starts a match of its own.
+_CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+
+
 class PieceTable:
-    """What the library makes of pieces between white space: two generations of a table, so memory is bounded."""
+    """What the library makes of pieces between white space: two generations of a table, so memory is bounded.
 
-    def __init__(self, path: str, value: Callable[[list[int]], object]):
-        self.tokenizer, self.value = library(path), value
+    A new piece that is one word of letters, with a full stop or comma perhaps, is looked up as its lower-case word and
+    its mark. New words go to the library many to a call, joined by spaces, and are told apart by the suffix that ends
+    each word's last token; everything else goes piece by piece.
+    """
+
+    def __init__(self, path: str, split: Callable[[np.ndarray, np.ndarray], list]):
+        """split: from ids and the end of each piece in them to a value for each; values can be added."""
+        self.tokenizer, self.split = library(path), split
         self.new: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}
+        self.words: dict[str, object] = {}
+        self.old_words: dict[str, object] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+            self.marks = dict(zip(".,", self._values([".", ","]), strict=True))
+
+    def _values(self, texts: list[str]) -> list:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self.split(np.array(list(chain.from_iterable(made)), "<u4"), np.cumsum([len(x) for x in made]))
+
+    def _encode_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                self.words.update(zip(some, self.split(ids, cuts), strict=True))
+            else:
+                self.words.update(zip(some, self._values(some), strict=True))
 
     def of(self, texts: list[list[bytes]]) -> dict[bytes, object]:
         """A table that holds every piece of texts."""
         if len(self.new) > TABLE_PIECES:
             self.old, self.new = self.new, {}
+        if len(self.words) > TABLE_PIECES:
+            self.old_words, self.words = self.words, {}
         new, old, wanted = self.new, self.old, set()
         for pieces in texts:
             wanted.update(pieces)
-        missing = []
+        simple, other, fresh = [], [], set()
         for piece in wanted.difference(new):
             if (found := old.get(piece)) is not None:
                 new[piece] = found
+            elif self.ends is not None and len(piece) <= LONG_PIECE and (m := _CORE(piece.decode())):
+                word = m[1].lower()
+                simple.append((piece, word, m[2]))
+                if word not in self.words:
+                    if (found := self.old_words.get(word)) is not None:
+                        self.words[word] = found
+                    else:
+                        fresh.add(word)
             else:
-                missing.append(piece)
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            made = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
-            new.update((x, self.value(e.ids)) for x, e in zip(some, made, strict=True))
-        if long := [x for x in missing if len(x) > LONG_PIECE]:
+                other.append(piece)
+        if fresh:
+            self._encode_words(list(fresh))
+        words, marks = self.words, self.marks if simple else {}
+        for piece, word, mark in simple:
+            new[piece] = words[word] + marks[mark] if mark else words[word]
+        for at in range(0, len(other), 20_000):
+            some = other[at : at + 20_000]
+            new.update(zip(some, self._values([x.decode() for x in some]), strict=True))
+        if long := [x for x in other if len(x) > LONG_PIECE]:
             table = dict(new)
             for x in long:
                 del new[x]
@@ -91,6 +140,17 @@ class PieceTable:
         return new
 
 
+def lengths(ids: np.ndarray, ends: np.ndarray) -> list[int]:
+    """The ids in each piece."""
+    return np.diff(ends, prepend=0).tolist()
+
+
+def packed(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Each piece's ids as bytes."""
+    raw, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def by_bytes(texts: Iterable[bytes], size: int = BATCH_BYTES) -> Iterator[list[bytes]]:
     """Runs of texts of about size bytes."""
     run, held = [], 0
@@ -121,7 +181,7 @@ def safe_pieces(text: str, size: int = 1 << 16) -> list[str]:
 def counter(path: str) -> Callable[[Iterable[bytes]], Iterator[int]]:
     """A function from UTF-8 texts to token counts."""
     if drops_spaces(path):
-        table = PieceTable(path, len)
+        table = PieceTable(path, lengths)
 
         def count(texts: Iterable[bytes]) -> Iterator[int]:
             for run in by_bytes(texts):
