@@ -31,17 +31,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _hash_piece(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start offsets of the words of data; no word crosses an offset in cuts."""
+def letters_only() -> np.ndarray:
+    """The bytes between words if words are runs of ASCII letters and digits and bytes of other scripts."""
+    out = np.ones(256, bool)
+    out[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+    return out
+
+
+def _hash_piece(data: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = SPACES, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and start offsets of the words of data; no word crosses an offset in cuts.
+
+    With prefixes, a column of hashes for the whole word and one for its first bytes, for each number of them.
+    """
     global _powers
-    word = ~SPACES[data]
+    word = ~spaces[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     cuts = cuts[(cuts > 0) & (cuts < len(data))]
     first[cuts] = word[cuts]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.empty(0, np.uint64), starts
+        return np.empty((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), starts
     at = np.arange(len(data), dtype=np.int64)
     lead = starts[0]
     lengths = np.diff(np.append(starts, len(data)))
@@ -49,10 +59,16 @@ def _hash_piece(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     if (top := int(lengths.max())) >= len(_powers):  # a long last gap or a word over 4096 bytes
         _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(top, _BASE)]), dtype=np.uint64)
     part = _VALUES[data[lead:]] * _powers[place]
-    return mix(np.add.reduceat(part, starts - lead)), starts
+    if spaces is not SPACES:
+        part[~word[lead:]] = 0
+    whole = mix(np.add.reduceat(part, starts - lead))
+    if not prefixes:
+        return whole, starts
+    heads = [mix(np.add.reduceat(np.where(place < size, part, np.uint64(0)), starts - lead) + np.uint64(size)) for size in prefixes]
+    return np.column_stack([whole, *heads]), starts
 
 
-def hashed_texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed_texts(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of rows: (first row, word hashes of the run, offset of each row's words and the end).
 
     Null texts have no words. Long texts are cut at white space, so memory follows CHUNK and the words, not the batch.
@@ -76,10 +92,10 @@ def hashed_texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
             text, pieces, at = data[offsets[row] : offsets[row] + size], [], 0
             while at < size:
                 end = min(at + CHUNK, size)
-                while end < size and not SPACES[text[end]]:
-                    step = np.flatnonzero(SPACES[text[end : end + CHUNK]])
+                while end < size and not spaces[text[end]]:
+                    step = np.flatnonzero(spaces[text[end : end + CHUNK]])
                     end = end + int(step[0]) if len(step) else min(end + CHUNK, size)
-                pieces.append(_hash_piece(text[at:end], np.empty(0, np.int64))[0])
+                pieces.append(_hash_piece(text[at:end], np.empty(0, np.int64), spaces, prefixes)[0])
                 at = end
             words = np.concatenate(pieces)
             yield row, words, np.array([0, len(words)])
@@ -90,7 +106,7 @@ def hashed_texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
                 edges = np.concatenate([[0], np.cumsum(lengths[row:last])])
             else:
                 text, edges = data[lo : offsets[last]], offsets[row : last + 1] - lo
-            words, starts = _hash_piece(text, edges[1:-1]) if len(text) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            words, starts = _hash_piece(text, edges[1:-1], spaces, prefixes) if len(text) else (np.empty((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), np.empty(0, np.int64))
             yield row, words, np.searchsorted(starts, edges)
         row = last
 
