@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import byte_bpe, chat, dac, neardup, token_count, topk, toxicity, warc
+from sedimenta.llm import byte_bpe, chat, dac, decontam, neardup, token_count, topk, toxicity, warc
 from sedimenta.session import scratch, ship
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -57,13 +57,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_warc, op3_token_counts, op5_chat, op6_exact_topk, op7_near_duplicates, op8_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_files, op2_warc, op3_token_counts, op5_chat, op6_exact_topk, op7_near_duplicates, op8_byte_bpe, op9_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
