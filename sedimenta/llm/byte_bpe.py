@@ -23,9 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.token_count import LONG_PIECE
-
-TABLE_WORDS = 400_000
+TABLE_WORDS, LONG_PIECE = 400_000, 256
 #: Fixed value: the pattern of the vocabulary's pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.token_count import PieceTable, by_bytes, drops_spaces, library, packed, utf8
+from sedimenta.llm.token_count import PieceTable, by_bytes, drops_spaces, library, utf8
 from sedimenta.session import scratch
 
 MAGIC = b"SDAC"
@@ -123,23 +123,17 @@ class Shard:
 
 
 def _encoder(path: str):
-    """A function from UTF-8 texts to uint32 id arrays in bytes."""
+    """A function from a column of texts to runs of rows: first row, uint32 ids, offset of each row's ids and the end."""
     if drops_spaces(path):
-        table = PieceTable(path, packed)
+        return PieceTable(path).encoded
+    model = library(path)
 
-        def encode(texts) -> Iterator[bytes]:
-            for run in by_bytes(texts):
-                split = [t.split() for t in run]
-                get = table.of(split).__getitem__
-                yield from (b"".join(map(get, pieces)) for pieces in split)
-
-    else:
-        model = library(path)
-
-        def encode(texts) -> Iterator[bytes]:
-            for run in by_bytes(texts):
-                for made in model.encode_batch_fast([t.decode() for t in run], add_special_tokens=False):
-                    yield np.array(made.ids, "<u4").tobytes()
+    def encode(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        row = 0
+        for run in by_bytes(utf8(column)):
+            made = [e.ids for e in model.encode_batch_fast([t.decode() for t in run], add_special_tokens=False)]
+            yield row, np.concatenate([np.empty(0, np.uint32), *(np.array(x, np.uint32) for x in made)]), np.cumsum([0, *map(len, made)])
+            row += len(run)
 
     return encode
 
@@ -150,15 +144,21 @@ def write_shards(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
     One range shuffle orders the documents. Each attempt of a task writes files of its own names and only the
     attempt that succeeds is in the manifest, so lost executors leave nothing half-written in it.
     """
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seq = _encoder(path), TaskContext.get().partitionId(), 0
         ids, lengths, chunks, held = [], [], [], 0
 
+        def close():
+            nonlocal held
+            chunks.append(end)
+            lengths[-1] += 1
+            held += lengths[-1]
+
         def flush():
             nonlocal ids, lengths, chunks, held, seq
-            tokens = np.frombuffer(b"".join(chunks), "<u4")
+            tokens = np.concatenate(chunks)
             name = f"{folder}/shards/part-{part:06d}-{seq:04d}-{uuid.uuid4().hex[:8]}.dac"
             fs, at = pa.fs.FileSystem.from_uri(name)
             fs.create_dir(at.rpartition("/")[0], recursive=True)
@@ -169,13 +169,21 @@ def write_shards(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
             return row
 
         for batch in batches:
-            for doc_id, made in zip(batch.column(0).to_pylist(), encode(utf8(batch.column(1))), strict=True):
-                ids.append(doc_id)
-                chunks += [made, end]
-                lengths.append(len(made) // 4 + 1)
-                held += lengths[-1]
-                if held >= shard_tokens:
-                    yield flush()
+            names, at = batch.column(0).to_pylist(), -1
+            for row, tokens, edges in encode(batch.column(1)):
+                for k in range(len(edges) - 1):
+                    if row + k != at:  # else the rest of a long text
+                        if at >= 0:
+                            close()
+                        if held >= shard_tokens:
+                            yield flush()
+                        at = row + k
+                        ids.append(names[at])
+                        lengths.append(0)
+                    chunks.append(tokens[edges[k] : edges[k + 1]])
+                    lengths[-1] += int(edges[k + 1] - edges[k])
+            if at >= 0:
+                close()
         if ids:
             yield flush()
 

@@ -1,8 +1,9 @@
 """Token counts: Arrow batches in, lengths out, with the library of the vocabulary file.
 
 Texts go to the library in sub-batches balanced by bytes. Where a tokenizer drops white space before it merges
-(its pre-tokenizer keeps only matches that hold none), ASCII white space is a safe boundary: the pieces between are
-encoded once each, kept in a bounded table, and a text's count is the sum over its pieces. Long texts of other
+(its pre-tokenizer keeps only matches that hold none), ASCII white space is a safe boundary, and so is the place before a full
+stop or comma between a letter and white space: each distinct piece between
+is encoded once, kept in a bounded table by a 64-bit hash, and a text's count is the sum over its pieces. Long texts of other
 tokenizers are cut before a space between two ASCII letters, which byte-level patterns never join across;
 SentencePiece models, which add a prefix to every call, get whole texts.
 
@@ -25,9 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.llm.words import word_runs
+
 BATCH_BYTES = 6 << 20
-TABLE_PIECES = 1_000_000
-LONG_PIECE = 256
+SLOT_BITS, TABLE_PIECES = 22, 2_000_000
 LIMIT = 2048
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -66,89 +68,122 @@ _CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
 
 class PieceTable:
-    """What the library makes of pieces between white space: two generations of a table, so memory is bounded.
+    """The ids that the library makes of pieces between white space, by a 64-bit hash of the piece, in numpy arrays.
 
-    A new piece that is one word of letters, with a full stop or comma perhaps, is looked up as its lower-case word and
-    its mark. New words go to the library many to a call, joined by spaces, and are told apart by the suffix that ends
-    each word's last token; everything else goes piece by piece.
+    Open addressing over 2**SLOT_BITS slots; beyond TABLE_PIECES pieces it starts anew, so memory is bounded. New pieces
+    that are a word of letters, with a full stop or comma perhaps, go to the library many to a call, joined by spaces, and
+    are told apart by the suffix that ends each word's last token; everything else goes piece by piece.
     """
 
-    def __init__(self, path: str, split: Callable[[np.ndarray, np.ndarray], list]):
-        """split: from ids and the end of each piece in them to a value for each; values can be added."""
-        self.tokenizer, self.split = library(path), split
-        self.new: dict[bytes, object] = {}
-        self.old: dict[bytes, object] = {}
-        self.words: dict[str, object] = {}
-        self.old_words: dict[str, object] = {}
+    def __init__(self, path: str):
+        self.tokenizer = library(path)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        with open(path, encoding="utf-8") as f:
+            self.folds = "Lowercase" in json.dumps(json.load(f).get("normalizer"))
         self.ends = None
         if suffix:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-            self.marks = dict(zip(".,", self._values([".", ","]), strict=True))
-
-    def _values(self, texts: list[str]) -> list:
+        self.keys, self.slots = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys[:] = 0
+        self.size, self.used = 0, 0
+        self.first, self.sizes, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the pieces in the table, -1 for those not there."""
+        at = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        held = self.keys[at]
+        out = np.where(held == hashes, self.slots[at], -1)
+        rest = np.flatnonzero((held != hashes) & (held != 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & (1 << SLOT_BITS) - 1
+            held = self.keys[at[rest]]
+            hit = held == hashes[rest]
+            out[rest[hit]] = self.slots[at[rest[hit]]]
+            rest = rest[~hit & (held != 0)]
+        return out
+
+    def _insert(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(hashes)
+        while self.size + n > len(self.first):
+            self.first, self.sizes = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.sizes[self.size : self.size + n] = sizes
+        self.first[self.size : self.size + n] = self.used + np.cumsum(sizes) - sizes
+        places = np.arange(self.size, self.size + n, dtype=np.int32)
+        self.size, self.used = self.size + n, self.used + len(ids)
+        at, rest = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.arange(n)
+        while len(rest):
+            free = rest[self.keys[at[rest]] == 0]
+            self.keys[at[free]] = hashes[free]
+            won = free[self.keys[at[free]] == hashes[free]]
+            self.slots[at[won]] = places[won]
+            rest = np.setdiff1d(rest, won, assume_unique=True)
+            at[rest] = (at[rest] + 1) & (1 << SLOT_BITS) - 1
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return self.split(np.array(list(chain.from_iterable(made)), "<u4"), np.cumsum([len(x) for x in made]))
-
-    def _encode_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                self.words.update(zip(some, self.split(ids, cuts), strict=True))
+        return np.array(list(chain.from_iterable(made)), np.uint32), np.array([len(x) for x in made], np.int32)
+
+    def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        simple, other, words = [], [], []
+        for i, piece in enumerate(pieces):
+            if self.ends is not None and (m := _CORE(piece)):
+                simple.append(i)
+                words.append(1 + len(m[2]))
             else:
-                self.words.update(zip(some, self._values(some), strict=True))
-
-    def of(self, texts: list[list[bytes]]) -> dict[bytes, object]:
-        """A table that holds every piece of texts."""
-        if len(self.new) > TABLE_PIECES:
-            self.old, self.new = self.new, {}
-        if len(self.words) > TABLE_PIECES:
-            self.old_words, self.words = self.words, {}
-        new, old, wanted = self.new, self.old, set()
-        for pieces in texts:
-            wanted.update(pieces)
-        simple, other, fresh = [], [], set()
-        for piece in wanted.difference(new):
-            if (found := old.get(piece)) is not None:
-                new[piece] = found
-            elif self.ends is not None and len(piece) <= LONG_PIECE and (m := _CORE(piece.decode())):
-                word = m[1].lower()
-                simple.append((piece, word, m[2]))
-                if word not in self.words:
-                    if (found := self.old_words.get(word)) is not None:
-                        self.words[word] = found
-                    else:
-                        fresh.add(word)
+                other.append(i)
+        for at in range(0, len(simple), 4000):
+            some, n = simple[at : at + 4000], np.cumsum(words[at : at + 4000])
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == n[-1] and ends[-1] == len(ids):
+                self._insert(hashes[some], ids, np.diff(ends[n - 1], prepend=0))
             else:
-                other.append(piece)
-        if fresh:
-            self._encode_words(list(fresh))
-        words, marks = self.words, self.marks if simple else {}
-        for piece, word, mark in simple:
-            new[piece] = words[word] + marks[mark] if mark else words[word]
+                other += some
         for at in range(0, len(other), 20_000):
             some = other[at : at + 20_000]
-            new.update(zip(some, self._values([x.decode() for x in some]), strict=True))
-        if long := [x for x in other if len(x) > LONG_PIECE]:
-            table = dict(new)
-            for x in long:
-                del new[x]
-            return table
-        return new
-
-
-def lengths(ids: np.ndarray, ends: np.ndarray) -> list[int]:
-    """The ids in each piece."""
-    return np.diff(ends, prepend=0).tolist()
-
-
-def packed(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """Each piece's ids as bytes."""
-    raw, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
-    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            self._insert(hashes[some], *self._encode([pieces[i] for i in some]))
+
+    def places(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Places of the pieces that begin at starts in data, encoding those that are new."""
+        if self.size + len(hashes) > TABLE_PIECES:
+            self._clear()
+        out = self._find(hashes)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new, first = np.unique(hashes[missing], return_index=True)
+            raw, ends = data.tobytes(), np.append(starts[1:], len(data))
+            self._add(new, [raw[starts[i] : ends[i]].strip(b" \t\n\r\x0b\x0c").decode() for i in missing[first].tolist()])
+            out[missing] = self._find(hashes[missing])
+        return out
+
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        """The ids of pieces one after another."""
+        sizes = self.sizes[places].astype(np.int64)
+        ends = np.cumsum(sizes)
+        return self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[places] - ends + sizes, sizes)]
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Ids in each text of a column."""
+        out = np.zeros(len(column), np.int64)
+        for row, hashes, edges, data, starts in word_runs(column, marks=True, folded=self.folds):
+            places = self.places(hashes, data, starts)
+            sums = np.concatenate([[0], np.cumsum(self.sizes[places], dtype=np.int64)])
+            out[row : row + len(edges) - 1] += np.diff(sums[edges])
+        return out
+
+    def encoded(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For runs of rows (a long text has several): first row, ids, and the offset of each row's ids and the end."""
+        for row, hashes, edges, data, starts in word_runs(column, marks=True, folded=self.folds):
+            places = self.places(hashes, data, starts)
+            sums = np.concatenate([[0], np.cumsum(self.sizes[places], dtype=np.int64)])
+            yield row, self.ids(places), sums[edges]
 
 
 def by_bytes(texts: Iterable[bytes], size: int = BATCH_BYTES) -> Iterator[list[bytes]]:
@@ -178,32 +213,22 @@ def safe_pieces(text: str, size: int = 1 << 16) -> list[str]:
     return [*out, text[at:]]
 
 
-def counter(path: str) -> Callable[[Iterable[bytes]], Iterator[int]]:
-    """A function from UTF-8 texts to token counts."""
+def counter(path: str) -> Callable[[pa.Array], np.ndarray]:
+    """A function from a column of texts to token counts."""
     if drops_spaces(path):
-        table = PieceTable(path, lengths)
-
-        def count(texts: Iterable[bytes]) -> Iterator[int]:
-            for run in by_bytes(texts):
-                split = [t.split() for t in run]
-                get = table.of(split).__getitem__
-                yield from (sum(map(get, pieces)) for pieces in split)
-
-    elif path.endswith(".model"):
-        model = library(path)
-
-        def count(texts: Iterable[bytes]) -> Iterator[int]:
-            for run in by_bytes(texts):
-                yield from map(len, model.encode([t.decode() for t in run], num_threads=1))
-
-    else:
-        model = library(path)
-
-        def count(texts: Iterable[bytes]) -> Iterator[int]:
-            for run in by_bytes(texts):
+        return PieceTable(path).counts
+    model = library(path)
+
+    def count(column: pa.Array) -> np.ndarray:
+        out: list[int] = []
+        for run in by_bytes(utf8(column)):
+            if path.endswith(".model"):
+                out += map(len, model.encode([t.decode() for t in run], num_threads=1))
+            else:
                 cut = [safe_pieces(t.decode()) for t in run]
                 made = iter(model.encode_batch_fast([p for pieces in cut for p in pieces], add_special_tokens=False))
-                yield from (sum(len(next(made).ids) for _ in pieces) for pieces in cut)
+                out += [sum(len(next(made).ids) for _ in pieces) for pieces in cut]
+        return np.array(out, np.int64)
 
     return count
 
@@ -220,7 +245,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in batches:
-            tokens = pa.array(count(utf8(batch.column(1))), pa.int64())
+            tokens = pa.array(count(batch.column(1)), pa.int64())
             sizes = pc.fill_null(pc.cast(pc.binary_length(batch.column(1)), pa.int64()), 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens, pc.greater(tokens, limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 

@@ -14,11 +14,14 @@ import pyarrow as pa
 _rng = np.random.default_rng(20240117)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = _VALUES.copy()
 _VALUES[65:91] = _VALUES[97:123]
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_VALUES[SPACES] = 0
+_VALUES[SPACES] = _EXACT[SPACES] = 0
 _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4095, _BASE)]), dtype=np.uint64)
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
 CHUNK = 1 << 20
 
 
@@ -38,10 +41,11 @@ def letters_only() -> np.ndarray:
     return out
 
 
-def _hash_piece(data: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = SPACES, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+def _hash_piece(data: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = SPACES, prefixes: tuple[int, ...] = (), values: np.ndarray = _VALUES, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start offsets of the words of data; no word crosses an offset in cuts.
 
-    With prefixes, a column of hashes for the whole word and one for its first bytes, for each number of them.
+    With prefixes, a column of hashes for the whole word and one for its first bytes, for each number of them. With
+    marks, a full stop or comma between an ASCII letter and a space is a word of its own.
     """
     global _powers
     word = ~spaces[data]
@@ -49,6 +53,12 @@ def _hash_piece(data: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = SPACES,
     first[1:] &= ~word[:-1]
     cuts = cuts[(cuts > 0) & (cuts < len(data))]
     first[cuts] = word[cuts]
+    if marks:
+        at = np.flatnonzero((data == 44) | (data == 46))
+        at = at[at > 0]
+        at = at[_LETTERS[data[at - 1]] & ~first[at]]
+        after = np.minimum(at + 1, len(data) - 1)
+        first[at[(at + 1 == len(data)) | ~word[after] | first[after]]] = True
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.empty((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), starts
@@ -58,7 +68,7 @@ def _hash_piece(data: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = SPACES,
     place = at[lead:] - np.repeat(starts, lengths)
     if (top := int(lengths.max())) >= len(_powers):  # a long last gap or a word over 4096 bytes
         _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(top, _BASE)]), dtype=np.uint64)
-    part = _VALUES[data[lead:]] * _powers[place]
+    part = values[data[lead:]] * _powers[place]
     if spaces is not SPACES:
         part[~word[lead:]] = 0
     whole = mix(np.add.reduceat(part, starts - lead))
@@ -68,20 +78,25 @@ def _hash_piece(data: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = SPACES,
     return np.column_stack([whole, *heads]), starts
 
 
-def hashed_texts(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For runs of rows: (first row, word hashes of the run, offset of each row's words and the end).
+def word_runs(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[int, ...] = (), marks: bool = False, folded: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of rows of about CHUNK bytes: first row, word hashes, offset of each row's words and the end, bytes, word starts.
 
-    Null texts have no words. Long texts are cut at white space, so memory follows CHUNK and the words, not the batch.
+    Null texts have no words. A text over CHUNK bytes is cut at white space into several runs of that one row, so memory
+    follows CHUNK. Not folded: A-Z is left as it is, and so it is in runs that hold the start of a special token, <|.
     """
     if pa.types.is_string(column.type):
         column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.empty(0, np.uint8)
+    lengths = np.diff(offsets)
     if column.null_count:
-        full = np.asarray(column.is_valid())
-        lengths = np.where(full, np.diff(offsets), 0)
-    else:
-        lengths = np.diff(offsets)
+        lengths = np.where(np.asarray(column.is_valid()), lengths, 0)
+    none = np.empty(0, np.int64)
+
+    def hashed(text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        exact = marks and (not folded or b"<|" in text.tobytes())
+        return _hash_piece(text, cuts, spaces, prefixes, _EXACT if exact else _VALUES, marks)
+
     row, n = 0, len(column)
     while row < n:
         last, size = row, 0
@@ -89,28 +104,43 @@ def hashed_texts(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[
             size += lengths[last]
             last += 1
         if last == row + 1 and size > CHUNK:
-            text, pieces, at = data[offsets[row] : offsets[row] + size], [], 0
+            text, at = data[offsets[row] : offsets[row] + size], 0
             while at < size:
                 end = min(at + CHUNK, size)
                 while end < size and not spaces[text[end]]:
                     step = np.flatnonzero(spaces[text[end : end + CHUNK]])
                     end = end + int(step[0]) if len(step) else min(end + CHUNK, size)
-                pieces.append(_hash_piece(text[at:end], np.empty(0, np.int64), spaces, prefixes)[0])
+                words, starts = hashed(text[at:end], none)
+                yield row, words, np.array([0, len(words)]), text[at:end], starts
                 at = end
-            words = np.concatenate(pieces)
-            yield row, words, np.array([0, len(words)])
         else:
-            lo = offsets[row]
             if column.null_count:
                 text = np.concatenate([data[offsets[i] : offsets[i] + lengths[i]] for i in range(row, last)] or [np.empty(0, np.uint8)])
                 edges = np.concatenate([[0], np.cumsum(lengths[row:last])])
             else:
-                text, edges = data[lo : offsets[last]], offsets[row : last + 1] - lo
-            words, starts = _hash_piece(text, edges[1:-1], spaces, prefixes) if len(text) else (np.empty((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), np.empty(0, np.int64))
-            yield row, words, np.searchsorted(starts, edges)
+                text, edges = data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
+            words, starts = hashed(text, edges[1:-1]) if len(text) else (np.empty((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), none)
+            yield row, words, np.searchsorted(starts, edges), text, starts
         row = last
 
 
+def hashed_texts(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of whole rows: (first row, word hashes of the run, offset of each row's words and the end)."""
+    held: list[np.ndarray] = []
+    at = -1
+    for row, words, edges, _, _ in word_runs(column, spaces, prefixes):
+        if held and row != at:
+            yield at, (long := np.concatenate(held)), np.array([0, len(long)])
+            held = []
+        if len(edges) == 2:
+            at = row
+            held.append(words)
+        else:
+            yield row, words, edges
+    if held:
+        yield at, (long := np.concatenate(held)), np.array([0, len(long)])
+
+
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, k, 2**64)) for k in range(64)]
 
 
