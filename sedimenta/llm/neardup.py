@@ -12,7 +12,7 @@
 4. Components of the confirmed links are the result.
 
 A pair at the target similarity .85 meets in a node of one token with probability .85 in each tree, so it's missed with
-probability .15**16; in a node at the last depth, (1 - .85**4)**16 = 8e-6. Its sketch falls below the possible-link
+probability .15**16; in a node at the last depth, (1 - .85**3)**16 = 3e-7. Its sketch falls below the possible-link
 threshold (40 of 64 equal) with probability 1e-6 or less.
 
 Null and empty texts and texts without words have an empty set and link with nothing. Texts under five words are one
@@ -36,8 +36,8 @@ from sedimenta.llm.words import hashed_texts, jaccard_at_least, mix, shingle_set
 from sedimenta.session import scratch
 
 PERCENT = 85
-TREES, DEPTH, NODE = 16, 4, 512
-PERMUTATIONS = TREES * DEPTH
+TREES, DEPTH, NODE = 16, 3, 512
+PERMUTATIONS = 64
 POSSIBLE = 40
 BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 128, 32, 4096
 
@@ -173,6 +173,9 @@ def candidate_links(classes: DataFrame, folder: str, percent: int = PERCENT) ->
     live = classes.select("key", "n", "tokens")
     for depth in range(1, DEPTH + 1):
         rows = _nodes(live, depth)
+        if depth > 1:  # these are few, and are read three times
+            rows.write.parquet(f"{folder}/rows-{depth}")
+            rows = spark.read.parquet(f"{folder}/rows-{depth}")
         rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(f"size > {NODE}").write.parquet(f"{folder}/large-{depth}")
         large = spark.read.parquet(f"{folder}/large-{depth}").select("node")
         light.append(rows.join(large, "node", "left_anti"))
