@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import byte_bpe, chat, dac, decontam, neardup, token_count, topk, toxicity, warc
+from sedimenta.llm import byte_bpe, chat, dac, decontam, html_extract, neardup, token_count, topk, toxicity, warc
 from sedimenta.session import scratch, ship
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(_table(spark, sf_dir, "pages"))
+
+
 #: A conversation of control strings, added to the table.
 ESCAPES = "\\### Assistant: </turn> ok"
 
@@ -67,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_warc, op3_token_counts, op5_chat, op6_exact_topk, op7_near_duplicates, op8_byte_bpe, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_files, op2_warc, op3_token_counts, op4_main_text, op5_chat, op6_exact_topk, op7_near_duplicates, op8_byte_bpe, op9_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
