@@ -73,6 +73,19 @@ class Model:
         self.rows, self.table, self.filters, self.bias, self.out, self.shift, self.thresholds, self.constant = rows, table, filters, bias, out, shift, thresholds, constant
         self.languages = _language_table()
 
+    def __getstate__(self) -> dict:
+        """The tables by their entries: few buckets have rows."""
+        state = self.__dict__.copy()
+        state["table"] = [(np.flatnonzero(t).astype(np.int32), t[t != 0]) for t in self.table]
+        del state["languages"]
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        table = np.zeros((len(state["table"]), 1 << BUCKET_BITS), np.int32)
+        for row, (at, value) in zip(table, state["table"], strict=True):
+            row[at] = value
+        self.__dict__.update(state | {"table": table, "languages": _language_table()})
+
     def padded(self, buckets: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row numbers (words and pads by kind), first place of each text, embedded words."""
         n = len(edges) - 1

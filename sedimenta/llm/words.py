@@ -22,7 +22,7 @@ _VALUES[SPACES] = _EXACT[SPACES] = 0
 _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4095, _BASE)]), dtype=np.uint64)
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123)]] = True
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
