@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,8 +41,14 @@ def latin1(raw: Column) -> Column:
 
 
 def rounded(x: Column, digits: int) -> Column:
-    """The decimal nearest to a double's exact value, ties to even; round() and bround() round its shortest form."""
-    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * digits)).cast("double")
+    """The decimal nearest to a double's exact value, ties to even; round() and bround() round its shortest form.
+
+    format_number does so for all but what is under one unit of the last place, which is compared with half a unit.
+    """
+    x, unit, half = x.cast("double"), 10.0**-digits, float(f"5e-{digits + 1}")
+    up = F.abs(x) >= half if Decimal(half) > Decimal(f"5e-{digits + 1}") else F.abs(x) > half
+    small = F.when(up, F.signum(x) * unit).otherwise(0.0)
+    return F.when(F.abs(x) < unit, small).otherwise(F.call_function("format_number", x, F.lit("0." + "0" * digits)).cast("double"))
 
 
 def java(pattern: str) -> str:

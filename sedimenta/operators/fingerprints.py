@@ -118,17 +118,24 @@ def largest_distance(threshold: float) -> int:
 
 
 def cluster(payloads: DataFrame, order: str = "idx", threshold: float = 0.85, folder: str | None = None) -> DataFrame:
-    """Leader clusters in order of a unique column: idx, cluster_id (from 1), leader, simhash and payload preview.
+    """Leader clusters of payloads in order of a unique column: idx, cluster_id (from 1), leader, simhash and preview."""
+    folder = folder or scratch(payloads.sparkSession, "cluster")
+    made = lambda x: (signed(h := simhash_of(x["r"])), f"{h:016x}", x["p"])
+    prints = per_payload(payloads.where(F.col(order).isNotNull() & F.col("payload").isNotNull()), F.struct(_raw().alias("r"), F.substring("payload", 1, 120).alias("p")), "bits long, simhash string, preview string", made, (order,))
+    prints.write.parquet(f"{folder}/prints")
+    prints = payloads.sparkSession.read.parquet(f"{folder}/prints")
+    return cluster_prints(prints, order, threshold, folder).select(order, "cluster_id", "leader", "simhash", "preview")
+
+
+def cluster_prints(prints: DataFrame, order: str = "idx", threshold: float = 0.85, folder: str | None = None) -> DataFrame:
+    """prints (order, bits and more) with cluster_id and leader.
 
     A payload joins the first leader within the distance, else it leads. Equal hashes share their first; two hashes within
     distance d agree in one of d + 1 bands (an exact equi-join); then leaders are settled in rounds: one without an
     earlier undecided or leading neighbour leads, one with a leading earlier neighbour follows.
     """
-    spark, most = payloads.sparkSession, largest_distance(threshold)
+    spark, most = prints.sparkSession, largest_distance(threshold)
     folder = folder or scratch(spark, "cluster")
-    prints = per_payload(payloads.where(F.col(order).isNotNull() & F.col("payload").isNotNull()), F.struct(_raw().alias("r"), F.substring("payload", 1, 120).alias("p")), "bits long, simhash string, preview string", lambda x: (signed(h := simhash_of(x["r"])), f"{h:016x}", x["p"]), (order,))
-    prints.write.parquet(f"{folder}/prints")
-    prints = spark.read.parquet(f"{folder}/prints")
     firsts = prints.groupBy("bits").agg(F.min(order).alias("first"))
     if most >= 64:
         bands = firsts.select("bits", "first", F.lit(0).alias("band"), F.lit(0).cast("long").alias("part"))
@@ -155,7 +162,7 @@ def cluster(payloads: DataFrame, order: str = "idx", threshold: float = 0.85, fo
     of = state.join(followed, F.col("node") == F.col("later"), "left").select("node", F.when(F.col("leads"), F.col("node")).otherwise(F.col("to")).alias("leader"))
     ranked = _ranks(leaders, folder)
     placed = of.join(ranked, "leader").select("node", "leader", F.col("rank").alias("cluster_id"))
-    return prints.join(firsts, "bits").join(placed, F.col("first") == F.col("node")).select(order, "cluster_id", "leader", "simhash", "preview")
+    return prints.join(firsts, "bits").join(placed, F.col("first") == F.col("node")).drop("first", "node")
 
 
 def _ranks(leaders: DataFrame, folder: str) -> DataFrame:
@@ -168,5 +175,5 @@ def _ranks(leaders: DataFrame, folder: str) -> DataFrame:
     return inside.join(before, "part").select("leader", (F.col("before") + F.col("k")).cast("long").alias("rank"))
 
 
-def cluster_sizes(clusters: DataFrame, order: str = "idx") -> DataFrame:
+def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.min("leader").alias("leader"))
