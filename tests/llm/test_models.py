@@ -44,7 +44,7 @@ def test_held_out_pages(model):
 def test_parser():
     page = html_extract.Page("<ul><li>a<li>b</ul><p>c<div>d</div><!-- e --><b>f</p><style>g</style><![CDATA[h]]></td>i &lt;j")
     assert [t for t in page.texts] == ["a", "b", "c", "d", "f", "h", "i <j"]
-    assert html_extract.render(page, [True] * len(page.tags)) == "a\nb\nc\nd\nfh\ni <j"
+    assert html_extract.render(page, [True] * len(page.tags)) == "a\nb\nc\nd\nf\nh\ni <j"
     assert [page.tags[o] for o in page.owners][:4] == ["li", "li", "p", "div"]
 
 
