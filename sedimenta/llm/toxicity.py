@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +141,7 @@ def train(texts: pa.Array, labels: np.ndarray, held: np.ndarray, seed: int = 11)
             seen.add(key)
             once.append(i)
     fit = [i for i in once if not held[i]]
-    toxic, clean = np.zeros((kinds, 1 << BUCKET_BITS), np.int32), np.zeros((kinds, 1 << BUCKET_BITS), np.int32)
+    toxic, clean = np.zeros((kinds, 1 << BUCKET_BITS), np.uint16), np.zeros((kinds, 1 << BUCKET_BITS), np.uint16)
     for i in fit:
         for kind in range(kinds):
             (toxic if labels[i] else clean)[kind][np.unique(docs[i][:, kind])] += 1
@@ -148,10 +149,11 @@ def train(texts: pa.Array, labels: np.ndarray, held: np.ndarray, seed: int = 11)
     n_clean = max(1, len(fit) - n_toxic)
     table, odds = np.zeros((kinds, 1 << BUCKET_BITS), np.int32), [np.zeros(1)]
     for kind in range(kinds):
-        known = np.flatnonzero(toxic[kind] + clean[kind] >= MIN_DOCS)
+        known = np.flatnonzero(toxic[kind] + clean[kind] >= MIN_DOCS)  # the bounds of the sample keep the counts in 16 bits
         table[kind][known] = np.arange(len(known)) + sum(map(len, odds))
         t, c = toxic[kind][known] + 0.5, clean[kind][known] + 0.5
         odds.append((np.log(t / (n_toxic + 1)) - np.log(c / (n_clean + 1))) / np.sqrt(1 / t + 1 / c))
+    del toxic, clean
     rng = np.random.default_rng(seed)
     odds = np.concatenate(odds)
     rows = (rng.normal(0, 0.05, (len(odds), DIMS))).astype(np.float32)
@@ -258,8 +260,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from the bounded sample; its rows come to the driver in the order of a hash of their ids."""
     sample = labelled_sample(docs, labels, id_col, text_col, label_col)
     table = sample.select("text", "label", F.crc32(F.col("id").cast("string").cast("binary")).alias("crc"), F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t")).toArrow()
-    table = table.sort_by([("h", "ascending"), ("t", "ascending")])
-    return train(table.column("text").combine_chunks(), np.asarray(table.column("label")).astype(np.int64), np.asarray(table.column("crc")) % 5 == 1)
+    order = pc.sort_indices(table.select(["h", "t"]), [("h", "ascending"), ("t", "ascending")])
+    texts, rest = table.column("text").take(order).combine_chunks(), table.select(["label", "crc"]).take(order)
+    del table
+    return train(texts, np.asarray(rest.column("label")).astype(np.int64), np.asarray(rest.column("crc")) % 5 == 1)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
