@@ -9,8 +9,10 @@ import argparse
 import json
 import os
 import sys
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 from typing import IO
+from urllib.parse import urlparse
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
@@ -132,6 +134,63 @@ def serve_lines(spark: SparkSession, source: IO[str], sink: IO[str]) -> None:
             sink.flush()
 
 
+def is_local(origin: str | None) -> bool:
+    """No origin, or http(s) to this machine."""
+    try:
+        url = urlparse(origin or "http://localhost")
+        return url.scheme in ("http", "https") and url.hostname in ("localhost", "127.0.0.1", "::1")
+    except ValueError:
+        return False
+
+
+def respond(spark: SparkSession, method: str, path: str, origin: str | None, body: bytes) -> tuple[int, dict]:
+    """Status and answer to an HTTP request."""
+    if not is_local(origin):
+        return 403, {"error": "Cross-origin request blocked"}
+    route = urlparse(path).path
+    if method == "GET":
+        if route in ("/health", "/api/health"):
+            return 200, {"status": "ok", "service": "sedimenta", "version": VERSION}
+        return (200, diagnostics()) if route == "/api/diagnostics" else (404, {"error": f"Endpoint not found: {route}"})
+    try:
+        arguments = json.loads(body or b"{}")
+        arguments.get("payload")
+    except (ValueError, AttributeError):
+        return 400, {"error": "Invalid JSON"}
+    if route not in ROUTES:
+        return 404, {"error": f"Endpoint not found: {route}"}
+    out = call(spark, ROUTES[route], arguments)
+    if route == "/api/waf":
+        out = {"threat": out["threat"], "severity": out["severity"], "rules": {k: out[k] for k in rules.FAMILIES}}
+    return 200, out
+
+
+def http_server(spark: SparkSession, host: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTPServer:
+    """A server of the routes; requests run as Spark jobs of one session."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def _answer(self, method: str) -> None:
+            body = self.rfile.read(int(self.headers.get("Content-Length") or 0)) if method == "POST" else b""
+            status, out = respond(spark, method, self.path, self.headers.get("Origin"), body)
+            data = json.dumps(out).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self) -> None:  # noqa: N802
+            self._answer("GET")
+
+        def do_POST(self) -> None:  # noqa: N802
+            self._answer("POST")
+
+        def log_message(self, *_: object) -> None:
+            pass
+
+    return ThreadingHTTPServer((host, port), Handler)
+
+
 def safe_join(base: str | Path, *parts: str) -> Path:
     """base / parts, which has to stay below base."""
     root = Path(base).expanduser().resolve()
@@ -174,8 +233,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         p.add_argument("-c", "--compare-with")
         p.add_argument("-t", "--type", choices=("all", "modsecurity", "cloudflare", "aws", "suricata"), default="all")
         p.add_argument("--hex", action="store_true")
-    for name in ("diagnostics", "rpc"):
-        sub.add_parser(name)
+    for name in ("diagnostics", "rpc", "serve"):
+        sub.add_parser(name).add_argument("--port", type=int, default=8080)
     a = parser.parse_args(args)
     if a.command == "diagnostics":
         print(json.dumps(diagnostics(), indent=2))
@@ -184,6 +243,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "rpc":
         serve_lines(spark, sys.stdin, sys.stdout)
         return 0
+    if a.command == "serve":
+        http_server(spark, port=a.port).serve_forever()
     out = call(spark, COMMANDS[a.command], {"payload": text_of(a.payload), "window_size": a.window_size, "ngram_order": a.ngram_order, "compare_with": a.compare_with, "is_hex": a.hex})
     if a.command == "waf" and a.type != "all":
         print(out["aws_waf" if a.type == "aws" else a.type])

@@ -88,3 +88,27 @@ def test_event_time(spark, tmp_path):
     q = payloads.threat_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.severity, r.payloads) for r in spark.table("counts").collect()) == [("INFO", 1), ("INFO", 1), ("MEDIUM", 1)]
+
+
+def test_http(spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    server = service.http_server(spark, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+
+    def ask(path, body=None, origin=None):
+        request = urllib.request.Request(base + path, body, {"Origin": origin} if origin else {})
+        try:
+            with urllib.request.urlopen(request, timeout=60) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    assert ask("/health")[0] == 200 and ask("/no")[0] == 404
+    assert ask("/api/waf", b'{"payload":"{{7*7}}"}')[1]["threat"] == "SSTI"
+    assert ask("/api/analyze", b"{bad")[0] == 400 and ask("/api/no", b"{}")[0] == 404
+    assert ask("/api/analyze", b"{}", "http://evil.com")[0] == 403 and not service.is_local("null") and service.is_local("http://[::1]:80")
+    server.shutdown()
