@@ -1,11 +1,14 @@
-"""Arrow batches in, fixed reports out: the frame that byte-level operators share. No shuffle; columns stay pruned."""
+"""Arrow scalar functions over payloads: the frame that byte-level operators share. No shuffle; columns stay pruned.
+
+Only the value goes to Python and only the report comes back; the other columns stay in the JVM.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -13,21 +16,24 @@ from pyspark.sql.pandas.types import to_arrow_type
 KEYS = ("source", "payload_id")
 
 
-def per_payload(df: DataFrame, value, fields: str, make: Callable[[object], tuple], keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys and the fields that make(value) gives for each row; a null value gives null fields."""
+def made_of(value: Column, fields: str, make: Callable[[object], tuple]) -> Column:
+    """A struct of the fields that make(value) gives; null for null."""
     kinds = T._parse_datatype_string(fields)
-    arrow = [to_arrow_type(f.dataType) for f in kinds]
-    names = [*keys, *kinds.names]
-    empty = (None,) * len(kinds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [empty if x is None else make(x) for x in batch.column(len(keys)).to_pylist()]
-            columns = list(zip(*made, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(c, k) for c, k in zip(columns, arrow, strict=True))], names=names)
-
-    schema = T.StructType([df.schema[k] for k in keys] + list(kinds.fields))
-    return df.select(*keys, value.alias("value")).mapInArrow(run, schema)
+    names, arrow = kinds.names, [to_arrow_type(f.dataType) for f in kinds]
+    empty = (None,) * len(names)
+
+    def run(values: pa.Array) -> pa.Array:
+        some = values.to_pylist()
+        columns = list(zip(*(empty if x is None else make(x) for x in some), strict=True)) or [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, arrow, strict=True)], names, mask=pa.array([x is None for x in some], pa.bool_()))
+
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kinds)(value)
+
+
+def per_payload(df: DataFrame, value: Column, fields: str, make: Callable[[object], tuple], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys and the fields that make(value) gives for each row; a null value gives null fields."""
+    return df.select(*keys, made_of(value, fields, make).alias("made")).select(*keys, "made.*")
 
 
 def exploded(df: DataFrame, array: str, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions.coerce import java, rounded
 from sedimenta.functions.fixed import SIGNATURES
 from sedimenta.operators import bytestats, decode
-from sedimenta.operators.rowwise import KEYS, per_payload
+from sedimenta.operators.rowwise import KEYS, made_of
 
 CATEGORIES = tuple(dict.fromkeys(s[0] for s in SIGNATURES))
 
@@ -60,13 +60,13 @@ def severity(risk: Column) -> Column:
 def assessed(df: DataFrame, normalized: bool = True) -> DataFrame:
     """Every column of a threat report; with normalized, payloads are decoded first."""
     rows = df.where(F.col("payload").isNotNull())
+    h = made_of(F.col("payload").cast("binary"), "h double", lambda r: (bytestats.entropy_of(bytestats.counts_of(r)),))["h"].alias("h")
+    rows = rows.select(*KEYS, F.col("payload").alias("raw_payload"), h, *([made_of(F.col("payload"), decode.DECODED, decode.decoded_of).alias("d")] if normalized else []))
     if normalized:
-        fields = f"normalized_payload string, total_layers_unwrapped int, transforms_applied array<string>, steps array<struct<layer:int,transform:string,description:string,output_preview:string>>, h double, raw_payload string"
-        rows = per_payload(rows, F.col("payload"), fields, lambda p: (*decode.decoded_of(p), bytestats.entropy_of(bytestats.counts_of(p.encode())), p))
+        rows = rows.select(*KEYS, "raw_payload", "h", "d.*")
         rules = matched_rules(F.col("raw_payload"), F.col("normalized_payload"))
         extra = F.when(F.col("total_layers_unwrapped") > 1, 15).otherwise(0)
     else:
-        rows = per_payload(rows, F.col("payload"), "h double, raw_payload string", lambda p: (bytestats.entropy_of(bytestats.counts_of(p.encode())), p))
         rules, extra = matched_rules(F.col("raw_payload")), F.lit(0)
     rows = rows.withColumn("matched_rules", rules).withColumn("scores", category_scores(F.col("matched_rules")))
     suspicious = F.col("h") >= 5.6
