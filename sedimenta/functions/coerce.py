@@ -51,6 +51,19 @@ def rounded(x: Column, digits: int) -> Column:
     return F.when(F.abs(x) < unit, small).otherwise(F.call_function("format_number", x, F.lit("0." + "0" * digits)).cast("double"))
 
 
+def fold_case(c: Column) -> Column:
+    """Lower case, with the letters that patterns without case take for i, k and s."""
+    return F.lower(F.translate(c, "\u017f\u0131\u0130\u212a", "siik"))
+
+
+def holds(c: Column, some: tuple[str, ...]) -> Column:
+    """Whether c holds one of some."""
+    out = c.contains(some[0])
+    for s in some[1:]:
+        out = out | c.contains(s)
+    return out
+
+
 def java(pattern: str) -> str:
     """A pattern of Python's re with IGNORECASE as Java reads it: Unicode classes, . without line feed only, \\s with 1C-1F."""
     kept = pattern.replace(r"[\s\S]", "\0").replace(r"\s", r"[\s\x1c-\x1f]").replace("\0", r"[\s\S]")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.coerce import plain
-from sedimenta.operators.rowwise import exploded, per_payload
+from sedimenta.operators.rowwise import per_payload, round_all, zipped
 
 
 def counts_of(raw: bytes) -> np.ndarray:
@@ -44,28 +44,32 @@ def top_of(raw: bytes, most: int = 10) -> list[dict]:
     return [{"rank": i + 1, "b": b, "n": int(c[b])} for i, b in enumerate(rank)]
 
 
-def windows_of(raw: bytes, window: int = 32, step: int = 8) -> list[dict]:
-    """Entropy of every full window; payloads of 8 bytes or more that are shorter than a window get smaller ones."""
+def window_arrays(raw: bytes, window: int = 32, step: int = 8) -> tuple[list[int], list[int], list[float], list[bool]]:
+    """(offset, window size, entropy, spike) of every full window; payloads of 8 bytes or more that are shorter than a window
+    get smaller ones."""
     n = len(raw)
     if 8 <= n < window:
         window, step = max(4, n // 3), max(1, n // 10)
     if n == 0 or n < window:
-        return []
+        return [], [], [], []
     data = np.frombuffer(raw, np.uint8)
     starts = np.arange(0, n - window + 1, step)
-    out = []
+    entropies = np.zeros(len(starts))
+    shares = np.arange(window + 1) / window
+    terms = shares * np.log2(np.maximum(shares, 1e-300))
     for at in range(0, len(starts), 4096):
         part = np.sort(data[starts[at : at + 4096, None] + np.arange(window)], axis=1)
-        rows = len(part)
-        new = np.ones((rows, window), bool)
+        new = np.ones(part.shape, bool)
         new[:, 1:] = part[:, 1:] != part[:, :-1]
         first = np.flatnonzero(new.ravel())
-        size = np.diff(np.append(first, rows * window))
-        p = size / window
-        h = np.zeros(rows)
-        np.subtract.at(h, first // window, p * np.log2(p))
-        out += [{"offset": int(o), "window_size": window, "entropy": round(float(x) + 0.0, 3), "is_spike": bool(x >= 6.5)} for o, x in zip(starts[at : at + 4096], h, strict=True)]
-    return out
+        size = np.diff(np.append(first, part.size))
+        entropies[at : at + 4096] = 0.0 - np.bincount(first // window, terms[size], len(part))
+    return starts.tolist(), [window] * len(starts), round_all(entropies, 3), (entropies >= 6.5).tolist()
+
+
+def windows_of(raw: bytes, window: int = 32, step: int = 8) -> list[dict]:
+    names = ("offset", "window_size", "entropy", "is_spike")
+    return [dict(zip(names, w, strict=True)) for w in zip(*window_arrays(raw, window, step), strict=True)]
 
 
 def chi_square_of(c: np.ndarray) -> float:
@@ -140,9 +144,10 @@ def byte_histogram(df: DataFrame) -> DataFrame:
 
     def made(r: bytes) -> tuple:
         c = counts_of(r)
-        return ([{"b": b, "n": int(c[b])} for b in np.flatnonzero(c).tolist()],)
+        some = np.flatnonzero(c)
+        return some.tolist(), c[some].tolist()
 
-    return exploded(per_payload(df, _raw(df), "h array<struct<b:int,n:long>>", made), "h")
+    return zipped(df, _raw(df), "b int, n long", made)
 
 
 def char_classes(df: DataFrame) -> DataFrame:
@@ -151,14 +156,14 @@ def char_classes(df: DataFrame) -> DataFrame:
 
 
 def top_bytes(df: DataFrame) -> DataFrame:
-    return exploded(per_payload(df, _raw(df), "t array<struct<rank:int,b:int,n:long>>", lambda r: (top_of(r),)), "t")
+    return zipped(df, _raw(df), "rank int, b int, n long", lambda r: tuple([t[k] for t in top_of(r)] for k in ("rank", "b", "n")))
 
 
 WINDOWS = "array<struct<offset:int,window_size:int,entropy:double,is_spike:boolean>>"
 
 
 def sliding_entropy(df: DataFrame, window: int = 32, step: int = 8) -> DataFrame:
-    return exploded(per_payload(df, _raw(df), f"w {WINDOWS}", lambda r: (windows_of(r, window, step),)), "w")
+    return zipped(df, _raw(df), "offset int, window_size int, entropy double, is_spike boolean", lambda r: window_arrays(r, window, step))
 
 
 def chi_square(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.coerce import hex_aware, rounded
 from sedimenta.functions.fixed import PRIME, hash_family
-from sedimenta.operators.rowwise import KEYS, exploded, per_payload
+from sedimenta.operators.rowwise import KEYS, per_payload
 from sedimenta.session import scratch
 
 _A = np.array([a for a, _ in hash_family()], np.uint64)
@@ -58,8 +58,8 @@ def minhash_of(raw: bytes, permutations: int = 64) -> list[int]:
     low32 = np.unique(hashes & np.uint64(0xFFFFFFFF))
     for at in range(0, len(low32), 4096):
         x = low32[at : at + 4096, None]
-        high = a * (x >> np.uint64(16)) % _P * np.uint64(65536) % _P
-        out = np.minimum(out, ((high + a * (x & np.uint64(65535)) % _P + b) % _P).min(0))
+        high = a * (x >> np.uint64(16)) % _P  # below 2**33, and so is b; a times 16 bits is below 2**49
+        out = np.minimum(out, ((high * np.uint64(65536) + a * (x & np.uint64(65535)) + b) % _P).min(0))
     return out.tolist()
 
 
@@ -81,8 +81,7 @@ def minhash(df: DataFrame, permutations: int = 64, keys: tuple[str, ...] = KEYS)
 
 
 def minhash_rows(df: DataFrame, permutations: int = 32) -> DataFrame:
-    made = per_payload(df, _raw(), "s array<struct<perm:int,value:long>>", lambda r: ([{"perm": i, "value": v} for i, v in enumerate(minhash_of(r, permutations))],))
-    return exploded(made, "s")
+    return minhash(df.where(F.col("payload").isNotNull()), permutations).select(*KEYS, F.posexplode("signature").alias("perm", "value"))
 
 
 def hamming(a: Column, b: Column) -> Column:

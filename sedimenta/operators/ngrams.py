@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.coerce import hex_aware
 from sedimenta.functions.fixed import baseline
-from sedimenta.operators.rowwise import exploded, per_payload
+from sedimenta.operators.rowwise import per_payload, round_all, zipped
 
 _LOG_BASE = np.log2(np.array(baseline()))
 
@@ -17,6 +19,9 @@ def _name(gram: bytes) -> str:
     return gram.decode() if all(32 <= b <= 126 for b in gram) else gram.hex()
 
 
+_named = lru_cache(maxsize=1 << 17)(_name)
+
+
 def grams_of(raw: bytes, n: int = 2) -> list[tuple[str, float, int]]:
     """(n-gram, relative frequency, first place), in order of appearance."""
     total = len(raw) - n + 1
@@ -29,7 +34,8 @@ def grams_of(raw: bytes, n: int = 2) -> list[tuple[str, float, int]]:
             key = key << 8 | data[k : k + total]
         keys, first, count = np.unique(key, return_index=True, return_counts=True)
         order = np.argsort(first, kind="stable")
-        return [(_name(raw[i : i + n]), round(c / total, 5), i) for i, c in zip(first[order].tolist(), count[order].tolist(), strict=True)]
+        places = first[order]
+        return list(zip([_named(raw[i : i + n]) for i in places.tolist()], round_all(count[order] / total, 5), places.tolist(), strict=True))
     seen: dict[bytes, list[int]] = {}
     for i in range(total):
         seen.setdefault(raw[i : i + n], [i, 0])[1] += 1
@@ -45,7 +51,7 @@ def transitions_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     pairs, count = np.unique(data[:-1] << 8 | data[1:], return_counts=True)
     a, b = pairs >> 8, pairs & 255
     rows = np.bincount(a, count, 256)
-    return a, b, np.array([round(x, 6) for x in (count / rows[a]).tolist()]), rows[a] / (len(raw) - 1)
+    return a, b, np.array(round_all(count / rows[a], 6)), rows[a] / (len(raw) - 1)
 
 
 def transition_entropy_of(raw: bytes) -> float:
@@ -74,8 +80,7 @@ def _raw():
 
 
 def ngram_frequencies(df: DataFrame, n: int = 2) -> DataFrame:
-    made = per_payload(df, _raw(), "g array<struct<gram:string,freq:double,first_pos:long>>", lambda r: ([dict(zip(("gram", "freq", "first_pos"), x, strict=True)) for x in grams_of(r, n)],))
-    return exploded(made, "g")
+    return zipped(df, _raw(), "gram string, freq double, first_pos long", lambda r: tuple(map(list, zip(*grams_of(r, n), strict=True))) or ([], [], []))
 
 
 def top_of(raw: bytes, most: int = 8) -> list[tuple[str, float]]:
@@ -83,16 +88,15 @@ def top_of(raw: bytes, most: int = 8) -> list[tuple[str, float]]:
 
 
 def top_bigrams(df: DataFrame, most: int = 8) -> DataFrame:
-    made = per_payload(df, _raw(), "g array<struct<rank:int,gram:string,freq:double>>", lambda r: ([{"rank": i + 1, "gram": g, "freq": f} for i, (g, f) in enumerate(top_of(r, most))],))
-    return exploded(made, "g")
+    def made(r: bytes) -> tuple:
+        top = top_of(r, most)
+        return list(range(1, len(top) + 1)), [g for g, _ in top], [x for _, x in top]
 
+    return zipped(df, _raw(), "rank int, gram string, freq double", made)
 
-def transition_matrix(df: DataFrame) -> DataFrame:
-    def made(r: bytes) -> tuple:
-        a, b, p, _ = transitions_of(r)
-        return ([{"b1": x, "b2": y, "p": z} for x, y, z in zip(a.tolist(), b.tolist(), p.tolist(), strict=True)],)
 
-    return exploded(per_payload(df, _raw(), "m array<struct<b1:int,b2:int,p:double>>", made), "m")
+def transition_matrix(df: DataFrame) -> DataFrame:
+    return zipped(df, _raw(), "b1 int, b2 int, p double", lambda r: tuple(x.tolist() for x in transitions_of(r)[:3]))
 
 
 def transition_entropy(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,18 @@ def per_payload(df: DataFrame, value: Column, fields: str, make: Callable[[objec
     return df.select(*keys, made_of(value, fields, make).alias("made")).select(*keys, "made.*")
 
 
-def exploded(df: DataFrame, array: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """A row for each struct of an array column."""
-    return df.select(*keys, F.inline(array))
+def zipped(df: DataFrame, value: Column, fields: str, make: Callable[[object], tuple], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """A row for each place of the arrays that make(value) gives, one array a field; null and empty give none."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    arrays = ", ".join(f"{n} array<{f.split()[1]}>" for n, f in zip(names, fields.split(", "), strict=True))
+    made = df.select(*keys, made_of(value, arrays, make).alias("made"))
+    return made.select(*keys, F.inline(F.arrays_zip(*[F.col("made")[n].alias(n) for n in names]))).toDF(*keys, *names)
+
+
+def round_all(x: np.ndarray, digits: int) -> list[float]:
+    """round(v, digits) of each: by numpy, but for what is close to a tie."""
+    scaled = x * 10**digits
+    out = np.rint(scaled) / 10**digits + 0.0
+    for i in np.flatnonzero(np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) < 1e-6):
+        out[i] = round(float(x[i]), digits) + 0.0
+    return out.tolist()

@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.functions.coerce import java
+from sedimenta.functions.coerce import fold_case, holds, java
 from sedimenta.functions.fixed import EMPTY_HINT, HINTS, NO_HINT, OBFUSCATIONS, PLUS_DENSITY, ZERO_WIDTH
 from sedimenta.operators.rowwise import KEYS
 
 
+#: For each pattern, strings of which a match holds one.
+GUARDS = (("atob", "buffer.from", "string.fromcharcode", "unescape", "decodeuricomponent"), ("[",), ("+",), ("$",), ("''", '""', "\\"), ("\\",), ("`", "iex", "invoke-expression", "frombase64string"), ("0x", "2130706433", "0"), ("/*",), ("_0x", "["))
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    return df.where("payload is not null").select(*KEYS, "payload", fold_case(F.col("payload")).alias("low"))
+
+
+def guarded(c: Column, i: int) -> Column:
+    """Whether pattern i is worth a try on c; the folded text is the column low."""
+    found = holds(F.col("low"), GUARDS[i])
+    return found & c.rlike("0[xX]|0[0-7]{10}|2130706433") if i == 7 else found
+
+
 def matches(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(java(pattern)), F.lit(0))
 
@@ -39,7 +53,7 @@ def dense(c: Column) -> Column:
 
 def techniques(c: Column) -> Column:
     """(category, weight) of what is found, by category."""
-    each = [F.when(c.rlike(java(p)), F.struct(F.lit(n).alias("category"), F.lit(w).alias("weight"))) for n, p, w, _ in OBFUSCATIONS]
+    each = [F.when(guarded(c, i) & c.rlike(java(p)), F.struct(F.lit(n).alias("category"), F.lit(w).alias("weight"))) for i, (n, p, w, _) in enumerate(OBFUSCATIONS)]
     each.append(F.when(zero_width_count(c) > 0, F.struct(F.lit(ZERO_WIDTH[0]).alias("category"), F.lit(ZERO_WIDTH[2]).alias("weight"))))
     each.append(F.when(dense(c), F.struct(F.lit(PLUS_DENSITY[0]).alias("category"), F.lit(PLUS_DENSITY[3]).alias("weight"))))
     return F.array_sort(F.filter(F.array(*each), lambda x: x.isNotNull()))
@@ -47,8 +61,8 @@ def techniques(c: Column) -> Column:
 
 def obfuscation_matches(df: DataFrame) -> DataFrame:
     """Number of matches of each pattern that a payload has."""
-    each = F.array(*[F.struct(F.lit(n).alias("category"), F.size(matches(F.col("payload"), p)).alias("n")) for n, p, _, _ in OBFUSCATIONS])
-    return df.where("payload is not null").select(*KEYS, F.inline(F.filter(each, lambda x: x["n"] > 0)))
+    each = F.array(*[F.struct(F.lit(n).alias("category"), F.when(guarded(F.col("payload"), i), F.size(matches(F.col("payload"), p))).otherwise(0).alias("n")) for i, (n, p, _, _) in enumerate(OBFUSCATIONS)])
+    return _rows(df).select(*KEYS, F.inline(F.filter(each, lambda x: x["n"] > 0)))
 
 
 def score(found: Column) -> Column:
@@ -56,7 +70,7 @@ def score(found: Column) -> Column:
 
 
 def obfuscation_score(df: DataFrame) -> DataFrame:
-    rows = df.where("payload is not null").select(*KEYS, techniques(F.col("payload")).alias("t"))
+    rows = _rows(df).select(*KEYS, techniques(F.col("payload")).alias("t"))
     return rows.select(*KEYS, score(F.col("t")).alias("complexity_score"), (score(F.col("t")) >= 25).alias("obfuscation_detected"), F.array_join(F.transform("t", lambda x: x["category"]), ",").alias("evasion_techniques"))
 
 
@@ -70,10 +84,10 @@ def _constructs(found: Column, name: str, description: str, weight: int) -> Colu
 
 def obfuscation_report(df: DataFrame) -> DataFrame:
     c = F.col("payload")
-    rows = df.where("payload is not null").select(*KEYS, "payload", techniques(c).alias("t"))
+    rows = _rows(df).select(*KEYS, "payload", "low", techniques(c).alias("t"))
     constructs = []
-    for name, pattern, weight, description in OBFUSCATIONS:
-        found = F.when(c.rlike(java(pattern)), first_matches(c, pattern)).otherwise(F.array().cast("array<struct<matched_text:string,start:int,end:int>>"))
+    for i, (name, pattern, weight, description) in enumerate(OBFUSCATIONS):
+        found = F.when(guarded(c, i) & c.rlike(java(pattern)), first_matches(c, pattern)).otherwise(F.array().cast("array<struct<matched_text:string,start:int,end:int>>"))
         constructs.append(_constructs(found, name, description, weight))
     n = zero_width_count(c)
     first = F.lower(F.lpad(F.hex(F.encode(F.regexp_extract(c, ZERO_WIDTH[1], 0), "UTF-16BE")), 4, "0"))

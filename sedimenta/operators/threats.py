@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.functions.coerce import java, rounded
+from sedimenta.functions.coerce import fold_case, holds, java, rounded
 from sedimenta.functions.fixed import SIGNATURES
 from sedimenta.operators import bytestats, decode
 from sedimenta.operators.rowwise import KEYS, made_of
@@ -16,23 +16,34 @@ from sedimenta.operators.rowwise import KEYS, made_of
 CATEGORIES = tuple(dict.fromkeys(s[0] for s in SIGNATURES))
 
 
-def snippet(c: Column, pattern: str) -> Column:
-    """The first match, null if none."""
-    return F.nullif(F.regexp_extract(c, java(pattern), 0), F.lit(""))
+#: For each signature, strings of which a match holds one: a pattern is only tried on texts that hold one.
+GUARDS = (
+    ("union", "select", "insert", "update", "delete", "drop", "alter"), ("sleep", "benchmark", "waitfor"), ("'", "1=1"), ("<script", "javascript:", "vbscript:"),
+    ("onerror", "onload", "onmouseover", "onclick", "onfocus", "onblur", "ontoggle", "onanimationstart"), ("document.", "window.location", "eval", "function", "alert", "prompt", "confirm"), (";", "|"), ("`", "$("), ("/bin/", "cmd.exe", "powershell"),
+    ("../", "..\\", "%2e%2e%2f", "%252e"), ("/etc/", "win.ini", "php://", "file://"), ("{{", "${", "<%=", "[["), ("://127.", "://localhost", "://0.0", "://169.", "://metadata", "://10.", "://192."), ("<!entity", "system"), ("__proto__", "prototype"),
+)
 
 
-def matched_rules(raw: Column, normalized: Column | None = None) -> Column:
-    """An array of the rules that match, in order of the signatures."""
-    rules = []
-    for i, (category, pattern, weight, cwe, mitre, description) in enumerate(SIGNATURES, 1):
-        found = snippet(raw, pattern) if normalized is None else F.coalesce(snippet(normalized, pattern), snippet(raw, pattern))
+def snippet(c: Column, folded: Column, i: int) -> Column:
+    """The first match of signature i, null if none."""
+    return F.when(holds(folded, GUARDS[i]), F.nullif(F.regexp_extract(c, java(SIGNATURES[i][1]), 0), F.lit("")))
+
+
+def matched_rules(raw: Column, normalized: Column | None = None, folded_raw: Column | None = None, folded_normalized: Column | None = None) -> Column:
+    """An array of the rules that match, in order of the signatures; the folded texts may be given as columns."""
+    rules, low = [], fold_case(raw) if folded_raw is None else folded_raw
+    if normalized is not None:
+        low_normalized = fold_case(normalized) if folded_normalized is None else folded_normalized
+    for i, (category, _, weight, cwe, mitre, description) in enumerate(SIGNATURES, 1):
+        found = snippet(raw, low, i - 1) if normalized is None else F.coalesce(snippet(normalized, low_normalized, i - 1), F.when(raw != normalized, snippet(raw, low, i - 1)))
         rules.append(F.struct(F.lit(i).alias("sig"), F.lit(category).alias("category"), F.lit(cwe).alias("cwe"), F.lit(mitre).alias("mitre"), F.lit(weight).alias("weight"), F.lit(description).alias("description"), found.alias("matched_subpattern")))
     return F.filter(F.array(*rules), lambda r: r["matched_subpattern"].isNotNull())
 
 
 def with_rules(df: DataFrame) -> DataFrame:
     """source, payload_id and the rules that the raw payload matches."""
-    return df.where(F.col("payload").isNotNull()).select(*KEYS, matched_rules(F.col("payload")).alias("rules"))
+    rows = df.where(F.col("payload").isNotNull()).select(*KEYS, "payload", fold_case(F.col("payload")).alias("low"))
+    return rows.select(*KEYS, matched_rules(F.col("payload"), folded_raw=F.col("low")).alias("rules"))
 
 
 def threat_matches(df: DataFrame) -> DataFrame:
@@ -64,10 +75,12 @@ def assessed(df: DataFrame, normalized: bool = True) -> DataFrame:
     rows = rows.select(*KEYS, F.col("payload").alias("raw_payload"), h, *([made_of(F.col("payload"), decode.DECODED, decode.decoded_of).alias("d")] if normalized else []))
     if normalized:
         rows = rows.select(*KEYS, "raw_payload", "h", "d.*")
-        rules = matched_rules(F.col("raw_payload"), F.col("normalized_payload"))
+        rows = rows.select("*", fold_case(F.col("raw_payload")).alias("low"), fold_case(F.col("normalized_payload")).alias("low_normalized"))
+        rules = matched_rules(F.col("raw_payload"), F.col("normalized_payload"), F.col("low"), F.col("low_normalized"))
         extra = F.when(F.col("total_layers_unwrapped") > 1, 15).otherwise(0)
     else:
-        rules, extra = matched_rules(F.col("raw_payload")), F.lit(0)
+        rows = rows.withColumn("low", fold_case(F.col("raw_payload")))
+        rules, extra = matched_rules(F.col("raw_payload"), folded_raw=F.col("low")), F.lit(0)
     rows = rows.withColumn("matched_rules", rules).withColumn("scores", category_scores(F.col("matched_rules")))
     suspicious = F.col("h") >= 5.6
     base = F.aggregate("matched_rules", F.lit(0), lambda s, r: s + r["weight"])
@@ -80,7 +93,7 @@ def assessed(df: DataFrame, normalized: bool = True) -> DataFrame:
         F.transform(F.slice("scores", 2, len(CATEGORIES)), lambda x: x["category"]).alias("secondary_threats"),
         F.array_sort(F.array_distinct(F.transform("matched_rules", lambda r: r["cwe"]))).alias("cwe_mappings"),
         F.array_sort(F.array_distinct(F.transform("matched_rules", lambda r: r["mitre"]))).alias("mitre_attack_mappings"),
-    ).drop("scores")
+    ).drop("scores", "low", "low_normalized")
 
 
 def threat_primary(df: DataFrame) -> DataFrame:

@@ -49,7 +49,13 @@ def payload_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return spread(out)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in more partitions if the scan has fewer than there are cores (small tables of one row group); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def fixtures(spark: SparkSession) -> DataFrame:
