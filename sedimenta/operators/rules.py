@@ -33,6 +33,7 @@ def rules_for(reports: DataFrame) -> DataFrame:
     """threat, severity and the four rules of each report."""
     first = F.get("matched_rules", F.lit(0))["matched_subpattern"]
     pattern = escaped(F.substring(F.coalesce(first, F.col("normalized_payload")), 1, 32))
+    # Fixed values below: the texts of the rules.
     rows = reports.select(*KEYS, F.col("primary_threat").alias("t"), "severity", pattern.alias("p"), rule_id(F.col("raw_payload")).cast("string").alias("i"))
     t, p, i = F.col("t"), F.col("p"), F.col("i")
     mod = F.concat(
