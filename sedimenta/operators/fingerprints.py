@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.coerce import hex_aware, rounded
 from sedimenta.functions.fixed import PRIME, hash_family
-from sedimenta.operators.rowwise import KEYS, per_payload
+from sedimenta.operators.rowwise import KEYS, per_payload, zipped
 from sedimenta.session import scratch
 
 _A = np.array([a for a, _ in hash_family()], np.uint64)
@@ -81,7 +81,7 @@ def minhash(df: DataFrame, permutations: int = 64, keys: tuple[str, ...] = KEYS)
 
 
 def minhash_rows(df: DataFrame, permutations: int = 32) -> DataFrame:
-    return minhash(df.where(F.col("payload").isNotNull()), permutations).select(*KEYS, F.posexplode("signature").alias("perm", "value"))
+    return zipped(df, _raw(), "perm int, value long", lambda r: (list(range(permutations)), minhash_of(r, permutations)))
 
 
 def hamming(a: Column, b: Column) -> Column:

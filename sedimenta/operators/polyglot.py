@@ -47,7 +47,7 @@ def polyglot_formats(df: DataFrame) -> DataFrame:
 
 
 def embedded_scripts(df: DataFrame) -> DataFrame:
-    return with_formats(df).select(*KEYS, F.posexplode("scripts").alias("n", "script"))
+    return with_formats(df).select(*KEYS, F.posexplode_outer("scripts").alias("n", "script")).where("script is not null")
 
 
 def polyglot_report(df: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def techniques(c: Column) -> Column:
 def obfuscation_matches(df: DataFrame) -> DataFrame:
     """Number of matches of each pattern that a payload has."""
     each = F.array(*[F.struct(F.lit(n).alias("category"), F.when(guarded(F.col("payload"), i), F.size(matches(F.col("payload"), p))).otherwise(0).alias("n")) for i, (n, p, _, _) in enumerate(OBFUSCATIONS)])
-    return _rows(df).select(*KEYS, F.inline(F.filter(each, lambda x: x["n"] > 0)))
+    return _rows(df).select(*KEYS, F.inline_outer(F.filter(each, lambda x: x["n"] > 0))).where("n is not null")
 
 
 def score(found: Column) -> Column:

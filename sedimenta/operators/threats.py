@@ -47,7 +47,8 @@ def with_rules(df: DataFrame) -> DataFrame:
 
 
 def threat_matches(df: DataFrame) -> DataFrame:
-    return with_rules(df).select(*KEYS, F.inline("rules"))
+    # outer, since from inner ones Spark infers a filter that it pushes down and that matches every pattern again
+    return with_rules(df).select(*KEYS, F.inline_outer("rules")).where("sig is not null")
 
 
 def category_scores(rules: Column) -> Column:
@@ -60,7 +61,7 @@ def category_scores(rules: Column) -> Column:
 
 
 def threat_scores(df: DataFrame) -> DataFrame:
-    scored = with_rules(df).select(*KEYS, F.explode(category_scores(F.col("rules"))).alias("x"))
+    scored = with_rules(df).select(*KEYS, F.explode_outer(category_scores(F.col("rules"))).alias("x")).where("x is not null")
     return scored.select(*KEYS, F.col("x.category").alias("category"), (-F.col("x.minus")).alias("score"))
 
 
