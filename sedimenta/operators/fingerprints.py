@@ -130,20 +130,24 @@ def cluster_prints(prints: DataFrame, order: str = "idx", threshold: float = 0.8
     """prints (order, bits and more) with cluster_id and leader.
 
     A payload joins the first leader within the distance, else it leads. Equal hashes share their first; two hashes within
-    distance d agree in one of d + 1 bands (an exact equi-join); then leaders are settled in rounds: one without an
+    distance d differ in one bit at most in one of d // 2 + 1 bands (an exact equi-join of bands and their one-bit
+    neighbours); then leaders are settled in rounds: one without an
     earlier undecided or leading neighbour leads, one with a leading earlier neighbour follows.
     """
     spark, most = prints.sparkSession, largest_distance(threshold)
     folder = folder or scratch(spark, "cluster")
     firsts = prints.groupBy("bits").agg(F.min(order).alias("first"))
     if most >= 64:
-        bands = firsts.select("bits", "first", F.lit(0).alias("band"), F.lit(0).cast("long").alias("part"))
+        bands = probes = firsts.select("bits", "first", F.lit(0).alias("band"), F.lit(0).cast("long").alias("part"))
     else:
-        n = max(most, 0) + 1
+        n = max(most, 0) // 2 + 1
         cuts = [round(i * 64 / n) for i in range(n + 1)]
-        parts = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft("bits", 64 - hi), 64 - (hi - lo)).alias("part")) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-        bands = firsts.select("bits", "first", F.inline(F.array(*parts)))
-    a, b = bands.select("band", "part", F.col("bits").alias("x"), F.col("first").alias("earlier")), bands.select("band", "part", F.col("bits").alias("y"), F.col("first").alias("later"))
+        parts = [(i, hi - lo, F.shiftrightunsigned(F.shiftleft("bits", 64 - hi), 64 - (hi - lo))) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+        placed = lambda i, part: F.struct(F.lit(i).alias("band"), part.alias("part"))
+        bands = firsts.select("bits", "first", F.inline(F.array(*[placed(i, part) for i, _, part in parts])))
+        masks = lambda wide: [0, *(1 << k for k in range(wide))]
+        probes = firsts.select("bits", "first", F.inline(F.array(*[placed(i, part.bitwiseXOR(F.lit(signed(m)).cast("long"))) for i, wide, part in parts for m in masks(wide)])))
+    a, b = bands.select("band", "part", F.col("bits").alias("x"), F.col("first").alias("earlier")), probes.select("band", "part", F.col("bits").alias("y"), F.col("first").alias("later"))
     near = a.join(b, ["band", "part"]).where("earlier < later").where(hamming(F.col("x"), F.col("y")) <= most).select("earlier", "later").distinct()
     near.write.parquet(f"{folder}/near")
     near = spark.read.parquet(f"{folder}/near")

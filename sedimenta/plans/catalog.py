@@ -31,11 +31,15 @@ def lsh_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(_pairs(spark, sf_dir), keys=("source", "payload_id"))
 
 
+#: Sources in the order in which their payloads may lead.
+CLUSTERED = ("conversations", "benchmark", "fixtures", "documents", "pages", "urls", "events")
+
+
 def cluster_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leader clusters of conversation turns, benchmark items and fixtures, in that order."""
-    rows = payload_corpus(spark, sf_dir).where("source in ('conversations', 'benchmark', 'fixtures')")
-    offset = F.when(F.col("source") == "conversations", 0).when(F.col("source") == "benchmark", 1).otherwise(2)
-    return fingerprints.cluster(rows.select((offset * 10**12 + F.col("payload_id")).alias("idx"), "payload")).drop("preview")
+    """Leader clusters of the whole corpus, in the order of CLUSTERED and then of ids."""
+    rows = payload_corpus(spark, sf_dir)
+    place = F.array_position(F.array(*[F.lit(x) for x in CLUSTERED]), F.col("source")) - 1
+    return fingerprints.cluster(rows.select((place * 10**12 + F.col("payload_id")).alias("idx"), "payload")).drop("preview")
 
 
 def baseline_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
