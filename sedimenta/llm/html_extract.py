@@ -37,7 +37,7 @@ NEGATIVE = frozenset("nav navigation navbar menu header masthead topbar footer f
 POSITIVE = frozenset("article content main post entry story body text page blog prose document reader detail".split())
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'][^\s=/]*+)\s*+(?:=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _WORDS = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -107,7 +107,7 @@ class Page:
                 continue
             attributes = m[3] if m[3] is not None else m[5] or ""
             tokens, hidden = (), False
-            if attributes and "=" in attributes or "hidden" in attributes:
+            if attributes and "=" in attributes or "hidden" in attributes.lower():
                 found = []
                 for a in _ATTRIBUTE.finditer(attributes):
                     key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
