@@ -3,7 +3,8 @@
 Texts go to the library in sub-batches balanced by bytes. Where a tokenizer drops white space before it merges
 (its pre-tokenizer keeps only matches that hold none), ASCII white space is a safe boundary, and so is the place before a full
 stop or comma between a letter and white space: each distinct piece between
-is encoded once, kept in a bounded table by a 64-bit hash, and a text's count is the sum over its pieces. Long texts of other
+is encoded once, kept in a bounded table by a 64-bit hash with its bytes, which every hit is compared with, and a text's count is
+the sum over its pieces. Long texts of other
 tokenizers are cut before a space between two ASCII letters, which byte-level patterns never join across;
 SentencePiece models, which add a prefix to every call, get whole texts.
 
@@ -26,10 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.words import word_runs
+from sedimenta.llm.words import mix, word_runs
 
 BATCH_BYTES = 6 << 20
-SLOT_BITS, TABLE_PIECES = 22, 2_000_000
+SLOT_BITS, TABLE_PIECES, TABLE_BYTES = 22, 2_000_000, 64 << 20
 LIMIT = 2048
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,12 +51,23 @@ def library(path: str):
     return found
 
 
+@lru_cache(maxsize=4)
+def _spec(path: str) -> tuple[dict, bool, np.ndarray | None]:
+    """Of a .json file: what it says but for the vocabulary, whether it lower-cases, and which ids end a word (None if none are marked)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, ends = spec.pop("model"), None
+    if suffix := model.get("end_of_word_suffix"):
+        ends = np.zeros(library(path).get_vocab_size(), bool)
+        ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+    return spec, "Lowercase" in json.dumps(spec.get("normalizer")), ends
+
+
 def drops_spaces(path: str) -> bool:
     """Whether white space never reaches the merges and no added token holds any."""
     if path.endswith(".model"):
         return False
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    spec = _spec(path)[0]
     first = spec.get("pre_tokenizer") or {}
     first = (first.get("pretokenizers") or [first])[0]
     pattern = (first.get("pattern") or {}).get("Regex", " ")
@@ -70,27 +82,23 @@ _CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 class PieceTable:
     """The ids that the library makes of pieces between white space, by a 64-bit hash of the piece, in numpy arrays.
 
-    Open addressing over 2**SLOT_BITS slots; beyond TABLE_PIECES pieces it starts anew, so memory is bounded. New pieces
+    Open addressing over 2**SLOT_BITS slots; beyond TABLE_PIECES pieces or TABLE_BYTES of them it starts anew, so memory is
+    bounded. A hit counts only if the piece has the bytes that are kept; other pieces of that hash get another. New pieces
     that are a word of letters, with a full stop or comma perhaps, go to the library many to a call, joined by spaces, and
     are told apart by the suffix that ends each word's last token; everything else goes piece by piece.
     """
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        with open(path, encoding="utf-8") as f:
-            self.folds = "Lowercase" in json.dumps(json.load(f).get("normalizer"))
-        self.ends = None
-        if suffix:
-            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        _, self.folds, self.ends = _spec(path)
         self.keys, self.slots = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
         self._clear()
 
     def _clear(self) -> None:
         self.keys[:] = 0
-        self.size, self.used = 0, 0
+        self.size, self.used, self.held = 0, 0, 0
         self.first, self.sizes, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.byte_first, self.byte_sizes, self.raw = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint8)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of the pieces in the table, -1 for those not there."""
@@ -106,15 +114,22 @@ class PieceTable:
             rest = rest[~hit & (held != 0)]
         return out
 
-    def _insert(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _insert(self, hashes: np.ndarray, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(hashes)
+        raw, lengths = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64)
         while self.size + n > len(self.first):
-            self.first, self.sizes = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.first, self.sizes, self.byte_first, self.byte_sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.sizes, self.byte_first, self.byte_sizes))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.held + len(raw) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
         self.pool[self.used : self.used + len(ids)] = ids
+        self.raw[self.held : self.held + len(raw)] = raw
         self.sizes[self.size : self.size + n] = sizes
+        self.byte_sizes[self.size : self.size + n] = lengths
         self.first[self.size : self.size + n] = self.used + np.cumsum(sizes) - sizes
+        self.byte_first[self.size : self.size + n] = self.held + np.cumsum(lengths) - lengths
+        self.held += len(raw)
         places = np.arange(self.size, self.size + n, dtype=np.int32)
         self.size, self.used = self.size + n, self.used + len(ids)
         at, rest = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.arange(n)
@@ -130,7 +145,8 @@ class PieceTable:
         made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array(list(chain.from_iterable(made)), np.uint32), np.array([len(x) for x in made], np.int32)
 
-    def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _add(self, hashes: np.ndarray, raw: list[bytes]) -> None:
+        pieces = [r.decode() for r in raw]
         simple, other, words = [], [], []
         for i, piece in enumerate(pieces):
             if self.ends is not None and (m := _CORE(piece)):
@@ -143,24 +159,41 @@ class PieceTable:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == n[-1] and ends[-1] == len(ids):
-                self._insert(hashes[some], ids, np.diff(ends[n - 1], prepend=0))
+                self._insert(hashes[some], [raw[i] for i in some], ids, np.diff(ends[n - 1], prepend=0))
             else:
                 other += some
         for at in range(0, len(other), 20_000):
             some = other[at : at + 20_000]
-            self._insert(hashes[some], *self._encode([pieces[i] for i in some]))
-
-    def places(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+            self._insert(hashes[some], [raw[i] for i in some], *self._encode([pieces[i] for i in some]))
+
+    def _same(self, places: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each piece has the bytes of its place."""
+        same = self.byte_sizes[places] == sizes
+        some = np.flatnonzero(same)
+        n = sizes[some]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        equal = data[at + np.repeat(starts[some] - ends + n, n)] == self.raw[at + np.repeat(self.byte_first[places[some]] - ends + n, n)]
+        if not equal.all():
+            same[some[np.searchsorted(ends, np.flatnonzero(~equal), "right")]] = False
+        return same
+
+    def places(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Places of the pieces that begin at starts in data, encoding those that are new."""
-        if self.size + len(hashes) > TABLE_PIECES:
+        if self.size + len(hashes) > TABLE_PIECES or self.held > TABLE_BYTES:
             self._clear()
-        out = self._find(hashes)
-        missing = np.flatnonzero(out < 0)
-        if len(missing):
-            new, first = np.unique(hashes[missing], return_index=True)
-            raw, ends = data.tobytes(), np.append(starts[1:], len(data))
-            self._add(new, [raw[starts[i] : ends[i]].strip(b" \t\n\r\x0b\x0c").decode() for i in missing[first].tolist()])
-            out[missing] = self._find(hashes[missing])
+        out, rest = np.empty(len(hashes), np.int64), np.arange(len(hashes))
+        while len(rest):
+            found = self._find(hashes)
+            missing = np.flatnonzero(found < 0)
+            if len(missing):
+                new, first = np.unique(hashes[missing], return_index=True)
+                which = rest[missing[first]]
+                self._add(new, [data[a : a + n].tobytes() for a, n in zip(starts[which].tolist(), sizes[which].tolist(), strict=True)])
+                found[missing] = self._find(hashes[missing])
+            same = self._same(found, data, starts[rest], sizes[rest])
+            out[rest[same]] = found[same]
+            rest, hashes = rest[~same], mix(hashes[~same]) | np.uint64(1)
         return out
 
     def ids(self, places: np.ndarray) -> np.ndarray:
@@ -172,16 +205,16 @@ class PieceTable:
     def counts(self, column: pa.Array) -> np.ndarray:
         """Ids in each text of a column."""
         out = np.zeros(len(column), np.int64)
-        for row, hashes, edges, data, starts in word_runs(column, marks=True, folded=self.folds):
-            places = self.places(hashes, data, starts)
+        for row, hashes, edges, *pieces in word_runs(column, marks=True, folded=self.folds):
+            places = self.places(hashes, *pieces)
             sums = np.concatenate([[0], np.cumsum(self.sizes[places], dtype=np.int64)])
             out[row : row + len(edges) - 1] += np.diff(sums[edges])
         return out
 
     def encoded(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of rows (a long text has several): first row, ids, and the offset of each row's ids and the end."""
-        for row, hashes, edges, data, starts in word_runs(column, marks=True, folded=self.folds):
-            places = self.places(hashes, data, starts)
+        for row, hashes, edges, *pieces in word_runs(column, marks=True, folded=self.folds):
+            places = self.places(hashes, *pieces)
             sums = np.concatenate([[0], np.cumsum(self.sizes[places], dtype=np.int64)])
             yield row, self.ids(places), sums[edges]
 

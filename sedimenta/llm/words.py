@@ -1,25 +1,27 @@
 """Vectorised word and shingle hashing over UTF-8 buffers (numpy), shared by near-duplicate search and retrieval.
 
-Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, with A-Z folded to a-z. A word's 64-bit hash is a
-polynomial in random byte values with an odd base modulo 2**64, finished by a mixer.
+Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, with A-Z folded to a-z. The 64-bit hash of a word of up to
+LONG bytes is tabulated: the sum of a random number for each byte at its place, finished by a mixer, so two words that
+differ collide with probability 2**-64 whatever their pattern. Longer words are hashed by blake2b. No hash is 0.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_rng = np.random.default_rng(20240117)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_EXACT = _VALUES.copy()
-_VALUES[65:91] = _VALUES[97:123]
+LONG = 64
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_VALUES[SPACES] = _EXACT[SPACES] = 0
-_powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4095, _BASE)]), dtype=np.uint64)
+#: Bytes with A-Z folded to a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] = FOLDED[97:123]
+_EXACT = np.random.default_rng(20240117).integers(0, 2**64, (LONG, 256), dtype=np.uint64)
+_EXACT[:, SPACES] = 0
+_VALUES, _EXACT = _EXACT[:, FOLDED].ravel(), _EXACT.ravel()
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123)]] = True
 CHUNK = 1 << 19
@@ -41,13 +43,12 @@ def letters_only() -> np.ndarray:
     return out
 
 
-def _hash_piece(data: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = SPACES, prefixes: tuple[int, ...] = (), values: np.ndarray = _VALUES, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start offsets of the words of data; no word crosses an offset in cuts.
+def _hash_piece(data: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = SPACES, prefixes: tuple[int, ...] = (), values: np.ndarray = _VALUES, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, start offsets and sizes in bytes of the words of data; no word crosses an offset in cuts.
 
     With prefixes, a column of hashes for the whole word and one for its first bytes, for each number of them. With
     marks, a full stop or comma between an ASCII letter and a space is a word of its own.
     """
-    global _powers
     word = ~spaces[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -61,25 +62,29 @@ def _hash_piece(data: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = SPACES,
         first[at[(at + 1 == len(data)) | ~word[after] | first[after]]] = True
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.empty((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), starts
-    at = np.arange(len(data), dtype=np.int64)
+        return np.empty((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), starts, starts
     lead = starts[0]
-    lengths = np.diff(np.append(starts, len(data)))
-    place = at[lead:] - np.repeat(starts, lengths)
-    if (top := int(lengths.max())) >= len(_powers):  # a long last gap or a word over 4096 bytes
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(top, _BASE)]), dtype=np.uint64)
-    part = values[data[lead:]] * _powers[place]
+    ends = np.append(starts[1:], len(data))
+    sizes = np.diff(np.cumsum(word, dtype=np.int64)[ends - 1], prepend=0)
+    place = np.minimum(np.arange(lead, len(data)) - np.repeat(starts, ends - starts), LONG - 1)
+    part = values[(place << 8) + data[lead:]]
     if spaces is not SPACES:
         part[~word[lead:]] = 0
     whole = mix(np.add.reduceat(part, starts - lead))
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        raw = data[starts[i] : starts[i] + sizes[i]]
+        raw = FOLDED[raw] if values is _VALUES else raw
+        whole[i] = int.from_bytes(hashlib.blake2b(raw.tobytes(), digest_size=8).digest(), "little")
+    whole[whole == 0] = 1
     if not prefixes:
-        return whole, starts
+        return whole, starts, sizes
     heads = [mix(np.add.reduceat(np.where(place < size, part, np.uint64(0)), starts - lead) + np.uint64(size)) for size in prefixes]
-    return np.column_stack([whole, *heads]), starts
+    return np.column_stack([whole, *heads]), starts, sizes
 
 
-def word_runs(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[int, ...] = (), marks: bool = False, folded: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of rows of about CHUNK bytes: first row, word hashes, offset of each row's words and the end, bytes, word starts.
+def word_runs(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[int, ...] = (), marks: bool = False, folded: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of rows of about CHUNK bytes: first row, word hashes, offset of each row's words and the end, the bytes
+    as they were hashed, word starts and sizes.
 
     Null texts have no words. A text over CHUNK bytes is cut at white space into several runs of that one row, so memory
     follows CHUNK. Not folded: A-Z is left as it is, and so it is in runs that hold the start of a special token, <|.
@@ -93,9 +98,10 @@ def word_runs(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[int
         lengths = np.where(np.asarray(column.is_valid()), lengths, 0)
     none = np.empty(0, np.int64)
 
-    def hashed(text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hashed(text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         exact = marks and (not folded or b"<|" in text.tobytes())
-        return _hash_piece(text, cuts, spaces, prefixes, _EXACT if exact else _VALUES, marks)
+        found = _hash_piece(text, cuts, spaces, prefixes, _EXACT if exact else _VALUES, marks)
+        return *found, (FOLDED[text] if marks and not exact else text)
 
     row, n = 0, len(column)
     while row < n:
@@ -110,8 +116,8 @@ def word_runs(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[int
                 while end < size and not spaces[text[end]]:
                     step = np.flatnonzero(spaces[text[end : end + CHUNK]])
                     end = end + int(step[0]) if len(step) else min(end + CHUNK, size)
-                words, starts = hashed(text[at:end], none)
-                yield row, words, np.array([0, len(words)]), text[at:end], starts
+                words, starts, sizes, raw = hashed(text[at:end], none)
+                yield row, words, np.array([0, len(words)]), raw, starts, sizes
                 at = end
         else:
             if column.null_count:
@@ -119,8 +125,8 @@ def word_runs(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[int
                 edges = np.concatenate([[0], np.cumsum(lengths[row:last])])
             else:
                 text, edges = data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
-            words, starts = hashed(text, edges[1:-1]) if len(text) else (np.empty((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), none)
-            yield row, words, np.searchsorted(starts, edges), text, starts
+            words, starts, sizes, raw = hashed(text, edges[1:-1]) if len(text) else (np.empty((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), none, none, text)
+            yield row, words, np.searchsorted(starts, edges), raw, starts, sizes
         row = last
 
 
@@ -128,7 +134,7 @@ def hashed_texts(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[
     """For runs of whole rows: (first row, word hashes of the run, offset of each row's words and the end)."""
     held: list[np.ndarray] = []
     at = -1
-    for row, words, edges, _, _ in word_runs(column, spaces, prefixes):
+    for row, words, edges, *_ in word_runs(column, spaces, prefixes):
         if held and row != at:
             yield at, (long := np.concatenate(held)), np.array([0, len(long)])
             held = []
@@ -141,21 +147,16 @@ def hashed_texts(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[
         yield at, (long := np.concatenate(held)), np.array([0, len(long)])
 
 
-_STEP = [np.uint64(pow(0xD6E8FEB86659FD93, k, 2**64)) for k in range(64)]
-
-
 def shingle_set(words: np.ndarray, size: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; fewer words than size make one shingle."""
+    """Sorted distinct 64-bit hashes of a text's word shingles, chained word by word; fewer words than size make one shingle."""
     n = len(words)
     if not n:
         return words
     with np.errstate(over="ignore"):
         width = min(n, size)
-        h = words[: n - width + 1] * _STEP[0]
-        for k in range(1, width):
-            h = h + words[k : n - width + 1 + k] * _STEP[k]
-        if n < size:
-            h = h + np.uint64(0x51ED270B * (n + 1))
+        h = np.full(n - width + 1, 0x51ED270B * (width + 1), np.uint64)
+        for k in range(width):
+            h = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) + words[k : n - width + 1 + k]
         return np.unique(mix(h))
 
 

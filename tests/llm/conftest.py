@@ -1,4 +1,9 @@
 import pytest
+from hypothesis import settings
+
+# The first example of a test loads vocabularies, for longer than hypothesis allows an example by default.
+settings.register_profile("vocabularies", deadline=None)
+settings.load_profile("vocabularies")
 
 LONG = "una palabra larga y otra, the end of it. " * 60_000
 ROWS = [
