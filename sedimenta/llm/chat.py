@@ -10,8 +10,10 @@ and < is written \\l, and in roles > is written \\g, so no control string can ap
 exactly. Each turn is a row (conversation, turn number, text, loss spans in code points), so a long conversation never
 has to be in one value; assistant texts are the spans under the loss mask.
 
-Null texts and roles are empty. Turns are in order of their number, nulls first, ties by their formatted text. Rows with a null
-conversation id are one conversation with a null id. An empty table gives no rows.
+Null texts and roles are empty, and so are null messages. Turns are in order of their number, nulls first, ties by their
+formatted text. A conversation whose messages are null or empty is one row of a null role: no turn, an empty formatted
+text. Rows with a null conversation id are one conversation with a null id. Ids keep their type; layouts without ids get
+long ones, written to the shared folder before use so that a task that runs again sees the same. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sedimenta.session import scratch
+
 
 @dataclass(frozen=True)
 class Mapping:
@@ -46,6 +50,9 @@ class Mapping:
 #: Roles as other layouts name them.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant", "prompter": "user", "ai": "assistant"}
 
+#: The column of ids that layouts without any get.
+NUMBER = "__conversation"
+
 MAPPINGS = (
     Mapping("turn rows", ("conv_id", "turn", "role", "text"), "rows", conv="conv_id", turn="turn"),
     Mapping("turn rows, content", ("conversation_id", "turn", "role", "content"), "rows", conv="conversation_id", turn="turn", text="content"),
@@ -98,12 +105,17 @@ def layout_of(schema: T.StructType) -> Mapping:
 def canonical_turns(rows: DataFrame) -> DataFrame:
     """conv_id, turn, role and text of every turn. Layouts without an id get one from Spark, unique in the table."""
     m = layout_of(rows.schema)
+    if not m.conv:
+        folder = scratch(rows.sparkSession, "conversations")
+        rows.select([p.split("[")[0] for p in dict.fromkeys(m.messages or p for p in m.paths)]).withColumn(NUMBER, F.monotonically_increasing_id()).write.parquet(folder)
+        rows = rows.sparkSession.read.parquet(folder)
     if m.kind == "rows":
         return rows.select(F.col(m.conv).alias("conv_id"), F.col(m.turn).cast("long").alias("turn"), _role(F.col(m.role), m.rename), _text(F.col(m.text)))
-    conv = F.col(m.conv) if m.conv else F.monotonically_increasing_id()
+    conv = F.col(m.conv or NUMBER)
     if m.kind == "messages":
-        flat = rows.select(conv.alias("conv_id"), F.posexplode(m.messages).alias("turn", "m"))
-        return flat.select("conv_id", F.col("turn").cast("long"), _role(F.col("m")[m.role], m.rename), _text(F.col("m")[m.text]))
+        flat = rows.select(conv.alias("conv_id"), F.posexplode_outer(m.messages).alias("turn", "m"))
+        role = F.when(F.col("turn").isNotNull(), _role(F.col("m")[m.role], m.rename))
+        return flat.select("conv_id", F.col("turn").cast("long"), role.alias("role"), _text(F.col("m")[m.text]))
     turns = []
     for role, field in m.fields:
         parts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in field.split("+")]
@@ -135,7 +147,7 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, turn, formatted and loss, the spans (start, end) of formatted under the mask, for each turn."""
     role = F.replace(_escaped(F.col("role")), F.lit(">"), F.lit("\\g"))
     opening, body = F.concat(F.lit("<turn "), role, F.lit(">")), _escaped(F.col("text"))
-    formatted = F.concat(opening, body, F.lit("</turn>\n"))
+    formatted = F.coalesce(F.concat(opening, body, F.lit("</turn>\n")), F.lit(""))
     start = F.length(opening)
     loss = F.when(F.col("role") == loss_role, F.array(F.struct(start.alias("start"), (start + F.length(body)).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
     return turns.select("conv_id", "turn", formatted.alias("formatted"), loss.alias("loss"))
@@ -161,7 +173,7 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def conversation_digests(formatted: DataFrame, conv_type: str = "long") -> DataFrame:
+def conversation_digests(formatted: DataFrame) -> DataFrame:
     """What is read back from formatted turns, a row for each conversation.
 
     The turns of a conversation pass through hashes in order, so memory is that of a batch however long it is.
@@ -198,6 +210,7 @@ def conversation_digests(formatted: DataFrame, conv_type: str = "long") -> DataF
             close()
             yield _digest_batch(done, kind)
 
+    conv_type = formatted.schema["conv_id"].dataType.simpleString()
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
     return ordered.select("conv_id", "formatted", "loss").mapInArrow(run, f"conv_id {conv_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

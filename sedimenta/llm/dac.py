@@ -7,8 +7,8 @@ bits) makes that k one table entry and at most eight popcounts.
 A shard file, little-endian: magic SDAC, version, levels, 0 (4 x u32 with the magic), documents, tokens, sections
 (3 x u64), then for each section its offset and bytes (2 x u64), then the sections, 8-byte aligned: document ids
 (i64), null flags of ids (u8), first token of each document and the end (u64), then chunks (u8), bitmap (u64) and
-ranks (u64) of each level. Shards follow one another in ascending document id, null ids first, equal ids by text; a
-manifest of one row a shard gives their order and token totals.
+ranks (u64) of each level. Shards follow one another in ascending document id, null ids first, equal ids by a hash of their
+text, so that rows of one id can be many tasks'; a manifest of one row a shard gives their order and token totals.
 
 Null texts are encoded as empty: the end id alone. Repeated rows are repeated documents. An empty table gives no
 shard and no row. Only the id and text columns are read.
@@ -187,15 +187,16 @@ def write_shards(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
         if ids:
             yield flush()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long").write.parquet(f"{folder}/manifest")
+    text = F.col(text_col).cast("string")
+    ordered = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h")).repartitionByRange("id", "h").sortWithinPartitions("id", "h")
+    ordered.select("id", "text").mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long").write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the shards of folder, from the files alone.
 
-    The only rows met in one place are those of the manifest, one a shard.
+    The only rows met in one place are the totals of the partitions that wrote the manifest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +210,10 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(edges[:-1] + first), pa.array(np.diff(edges)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     manifest = spark.read.parquet(f"{folder}/manifest")
-    before = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    placed = manifest.select("path", F.coalesce(before, F.lit(0)).cast("long").alias("first"))
+    above = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", above(Window.orderBy("part")).alias("before"))
+    inside = manifest.select("path", "part", above(Window.partitionBy("part").orderBy("seq")).alias("inside"))
+    placed = inside.join(parts, "part").select("path", (F.col("before") + F.col("inside")).cast("long").alias("first"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return placed.repartition(parts, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -1,21 +1,29 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded so that the labels of a page agree.
 
-A page is parsed into a tree (implied ends, unclosed tags, raw-text elements). Each element has features of its subtree
-(text, link text, tags, punctuation, density), its tag, its class, id and role tokens and its ancestors', its depth and
-its place among its siblings. Trees boosted on generated pages of many templates give the probability that an element
+A page is parsed into a tree (implied ends, unclosed tags, raw-text elements), in time that follows its length. Each
+element has features of its subtree (text, link text, tags, punctuation, density, controls), its tag, its class, id and
+role tokens and its ancestors', its depth, its place among its siblings and beside the largest of them, and its place
+beside the page's first heading and its article or main element. Trees boosted on generated pages of many templates, of
+which some have telling class names, some have neutral ones and some have none, give the probability that an element
 holds main text. The decoding maximises the likelihood of the page's labels under one rule: under a dropped element all
 is dropped. So no kept element has a dropped ancestor.
 
+The trees are kept in MODEL, which `python -m sedimenta.llm.html_training` makes.
+
 The text of kept elements is cut into blocks at block-level tags. Character references are decoded, white space inside a
 block becomes one space, blocks are trimmed and joined by one line feed; empty blocks go.
 
-Null and empty pages have empty text. Pages without tags are one block of text. Very long pages are parsed whole. Rows
-that repeat give equal rows. Only the named columns are read.
+Null and empty pages have empty text. Pages without tags are one block of text. Very long pages are parsed whole; elements
+nested deeper than DEPTH are siblings, as in browsers, and lose no text. After QUOTES tags whose quotes never close, the
+quotes of a page's tags are ignored. Rows that repeat give equal rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import json
+import pkgutil
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -36,7 +44,12 @@ TAGS = "nav header footer aside form article main section div p ul ol li table t
 NEGATIVE = frozenset("nav navigation navbar menu header masthead topbar footer foot bottom sidebar side aside rail ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert warning comment comments reply replies respond discussion disqus share sharing social related recommended recommend newsletter subscribe subscription signup login form search breadcrumb breadcrumbs pagination pager widget popup modal overlay copyright legal skip toolbar tags meta".split())
 POSITIVE = frozenset("article content main post entry story body text page blog prose document reader detail".split())
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+#: The file of the trees, beside this module.
+MODEL = "html_model.json"
+DEPTH, QUOTES = 512, 16
+
+_OPEN = re.compile(r"""<([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'][^\s=/]*+)\s*+(?:=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _WORDS = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -45,54 +58,82 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Page:
     """A parsed page: arrays over elements, and its texts in order with the element and block of each."""
 
-    __slots__ = ("tags", "parents", "tokens", "hidden", "texts", "owners", "blocks")
+    __slots__ = ("tags", "parents", "tokens", "hidden", "texts", "owners", "blocks", "once")
 
     def __init__(self, html: str):
         self.tags, self.parents, self.tokens, self.hidden = ["#root"], [-1], [()], [False]
         self.texts: list[str] = []
         self.owners: list[int] = []
         self.blocks: list[int] = []
+        self.once: set[str] = set()
         self._parse(html)
 
     def _parse(self, html: str) -> None:
-        stack, block, at, n = [0], 0, 0, len(html)
-        tags = self.tags
+        stack, block, at, begin, n = [0], 0, 0, 0, len(html)
+        tags, open_names, last, quotes = self.tags, Counter(), html.rfind(">"), 0
+        no_data = False  # whether no CDATA section ends from here on
 
         def text(piece: str) -> None:
             if piece and not piece.isspace():
                 self.texts.append(unescape(piece) if "&" in piece else piece)
                 self.owners.append(stack[-1])
                 self.blocks.append(block)
-            elif piece and self.texts and self.blocks[-1] == block:
-                self.texts[-1] += " "
+            elif piece:
+                space()
+
+        def space() -> None:
+            if self.texts and self.blocks[-1] == block and not self.texts[-1][-1:].isspace():
+                self.texts.append(" ")
+                self.owners.append(self.owners[-1])
+                self.blocks.append(block)
 
         def close(names: tuple[str, ...] | list[str], stops: set[str] | frozenset[str] = frozenset()) -> None:
+            if not any(open_names[x] for x in names):
+                return
             for k in range(len(stack) - 1, 0, -1):
                 if tags[stack[k]] in names:
+                    open_names.subtract(tags[i] for i in stack[k:])
                     del stack[k:]
                     return
                 if tags[stack[k]] in stops:
                     return
 
-        while at < n:
-            m = _TOKEN.search(html, at)
-            if not m:
-                text(html[at:])
-                break
-            if m.start() > at:
-                text(html[at : m.start()])
-            at = m.end()
-            if end := m[1]:
-                end = end.lower()
-                if end in BLOCK:
-                    block += 1
-                close((end,))
+        while (lt := html.find("<", at)) >= 0:
+            at = lt + 1  # where to go on if this isn't a tag
+            kind = html[at : at + 1]
+            if kind == "!" and html.startswith("!--", at):
+                text(html[begin:lt])
+                end = html.find("-->", lt + 4)
+                begin = at = n if end < 0 else end + 3
+                continue
+            if lt > last:
+                continue
+            if kind in ("!", "?"):
+                text(html[begin:lt])
+                if not no_data and html.startswith("![CDATA[", at):
+                    if (end := html.find("]]>", lt + 9)) >= 0:
+                        text(html[lt + 9 : end])
+                        begin = at = end + 3
+                        continue
+                    no_data = True
+                begin = at = html.find(">", lt) + 1
                 continue
-            if not (name := m[2] or m[4]):
-                if m[0].startswith("<![CDATA["):
-                    text(m[0][9:-3])
+            if not (m := _NAME.match(html, lt)):
                 continue
-            name = name.lower()
+            text(html[begin:lt])
+            name, attributes = m[1].lower(), ""
+            if kind == "/":
+                begin = at = html.find(">", m.end()) + 1
+                block += name in BLOCK
+                close((name,))
+                continue
+            if quotes < QUOTES and (m := _OPEN.match(html, lt)):
+                attributes, begin = m[2], m.end()
+            else:
+                quotes += 1
+                end = html.find(">", lt)
+                attributes, begin = html[min(lt + 1 + len(name), end) : end], end + 1
+            at = begin
             if name in BLOCK:
                 block += 1
                 if name in CLOSES_P:
@@ -100,12 +141,12 @@ class Page:
                 if name in IMPLIED:
                     close(IMPLIED[name][0].split(), IMPLIED[name][1])
             if name == "br":
-                if self.texts and self.blocks[-1] == block:
-                    self.texts[-1] += " "
+                space()
                 continue
-            if name in ("html", "body") and name in tags:
-                continue
-            attributes = m[3] if m[3] is not None else m[5] or ""
+            if name in ("html", "body"):
+                if name in self.once:
+                    continue
+                self.once.add(name)
             tokens, hidden = (), False
             if attributes and "=" in attributes or "hidden" in attributes.lower():
                 found = []
@@ -116,6 +157,8 @@ class Page:
                     elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
                         hidden = True
                 tokens = tuple(found)
+            if len(stack) > DEPTH and name not in VOID:
+                open_names[tags[stack.pop()]] -= 1
             tags.append(name)
             self.parents.append(stack[-1])
             self.tokens.append(tokens)
@@ -125,11 +168,15 @@ class Page:
             stack.append(len(tags) - 1)
             if name in RAW:
                 stop = _raw_end(name).search(html, at)
+                end = html.find(">", stop.end()) if stop else -1
                 if name == "title":
-                    text(html[at : stop.start() if stop else n])
-                at = stop.end() if stop else n
+                    text(html[at : stop.start() if end >= 0 else n])
+                begin = at = end + 1 if end >= 0 else n
                 stack.pop()
                 block += name in BLOCK
+            else:
+                open_names[name] += 1
+        text(html[begin:])
 
 
 _SCOPE = frozenset("article aside body div section main td th table button li blockquote header footer nav form fieldset figure #root dd dl ul ol".split())
@@ -137,84 +184,98 @@ _SCOPE = frozenset("article aside body div section main td th table button li bl
 
 @lru_cache(maxsize=32)
 def _raw_end(name: str) -> re.Pattern:
-    return re.compile(rf"</{name}[^>]*>", re.I)
+    return re.compile(rf"</{name}", re.I)
 
 
-FEATURES = 20 + len(TAGS)
+FEATURES = 36 + len(TAGS)
+CONTROLS = frozenset("button input label select textarea form".split())
+_TAG = {x: i for i, x in enumerate(TAGS)}
 
 
-def features(page: Page) -> np.ndarray:
-    """A row of features for every element."""
-    n = len(page.tags)
-    parents = page.parents
-    text, link, tags, points, paragraphs, items = ([0] * n for _ in range(6))
-    own = [0] * n
+def features(*pages: Page) -> np.ndarray:
+    """A row of features for every element of pages, one page after another.
+
+    Elements are in document order, so a subtree is a run of them.
+    """
+    sizes = np.array([len(p.tags) for p in pages])
+    roots = np.cumsum(sizes) - sizes
+    n = int(sizes.sum())
+    tags = [t for p in pages for t in p.tags]
+    tokens = [t for p in pages for t in p.tokens]
+    root = np.repeat(roots, sizes)
+    up = np.concatenate([np.array(p.parents) for p in pages]) + root
+    up[roots] = roots
+    parents, first = up.tolist(), roots.tolist()
+    size = [1] * n
+    depth, negative, positive, above_negative, above_positive, place, siblings, inside = ([0] * n for _ in range(8))
     linked = [False] * n
-    depth, negative, positive, above_negative, above_positive, place, siblings = ([0] * n for _ in range(7))
-    for i in range(1, n):
-        p = parents[i]
+    for i in range(n - 1, 0, -1):
+        if (p := parents[i]) != i:
+            size[p] += size[i]
+    for i in range(n):
+        p, name = parents[i], tags[i]
+        if p == i:
+            continue
         depth[i] = depth[p] + 1
-        linked[i] = linked[p] or page.tags[i] == "a"
+        linked[i] = linked[p] or name == "a"
         place[i] = siblings[p]
         siblings[p] += 1
         above_negative[i] = above_negative[p] + negative[p]
         above_positive[i] = above_positive[p] + positive[p]
-        words = (*page.tokens[i], page.tags[i])
-        negative[i] = sum(w in NEGATIVE for w in words)
-        positive[i] = sum(w in POSITIVE for w in words if w != "body")
-    for t, o in zip(page.texts, page.owners, strict=True):
-        size = len(t)
-        text[o] += size
-        own[o] += size
-        if linked[o]:
-            link[o] += size
-        points[o] += t.count(",") + t.count(".")
-    for i in range(n - 1, 0, -1):
+        negative[i], positive[i] = name in NEGATIVE, name in POSITIVE and name != "body"
+        for w in tokens[i]:
+            negative[i] += w in NEGATIVE
+            positive[i] += w in POSITIVE
+        inside[i] = inside[p] + (name in ("article", "main"))
+    own = np.zeros((n, 4))
+    texts = [t for p in pages for t in p.texts]
+    if texts:
+        owners = np.concatenate([np.array(p.owners, int) + r for p, r in zip(pages, first, strict=True)])
+        lengths = np.array([len(t) for t in texts], float)
+        for k, x in enumerate((lengths, lengths * np.array(linked)[owners], [t.count(",") + t.count(".") for t in texts], ["©" in t for t in texts])):
+            own[:, k] = np.bincount(owners, x, n)
+    known = np.array([_TAG.get(x, -1) for x in tags])
+    kinds = np.array([(x == "p", x == "li", x in CONTROLS, x == "h1", x in ("article", "main")) for x in tags], float)
+    sums = np.concatenate([np.zeros((1, 9)), np.cumsum(np.concatenate([own, kinds], 1), 0)])
+    at, count = np.arange(n), np.array(size)
+    text, link, points, rights, paragraphs, items, controls, h1s, mains = (sums[at + count] - sums[at]).T
+    place, siblings, own = np.array(place), np.array(siblings), own[:, 0]
+    below = np.flatnonzero(up != at)
+    largest = np.zeros(n)
+    np.maximum.at(largest, up[below], text[below])
+    beside = text / np.maximum(largest[up], 1)
+    beside[roots] = 1
+    where = np.full(n, n)
+    most = below[text[below] >= largest[up[below]]]
+    np.minimum.at(where, up[most], place[most])
+    side = np.sign(place - where[up])
+    side[roots] = 0
+    chain, late, early = beside.tolist(), (side > 0).tolist(), (side < 0).tolist()
+    for i in below.tolist():
         p = parents[i]
-        name = page.tags[i]
-        tags[i] += 1
-        paragraphs[i] += name == "p"
-        items[i] += name == "li"
-        text[p] += text[i]
-        link[p] += link[i]
-        tags[p] += tags[i]
-        points[p] += points[i]
-        paragraphs[p] += paragraphs[i]
-        items[p] += items[i]
-    a = np.array([text, link, tags, points, paragraphs, items, own, depth, negative, positive, above_negative, above_positive, place, siblings], float)
-    text, link, tags, points, paragraphs, items, own, depth, negative, positive, above_negative, above_positive, place, siblings = a
-    up = np.maximum(np.array(parents), 0)
-    total = max(text[0], 1)
+        if chain[p] < chain[i]:
+            chain[i] = chain[p]
+        late[i] = late[i] or late[p]
+        early[i] = early[i] or early[p]
+    chain = np.array(chain)
+    h1 = np.full(n, -1)
+    heads = np.flatnonzero(known == _TAG["h1"])[::-1]
+    h1[root[heads]] = heads  # the first of each page
+    h1 = h1[root]
     out = np.zeros((n, FEATURES))
-    out[:, 0] = np.log1p(text)
-    out[:, 1] = link / np.maximum(text, 1)
-    out[:, 2] = np.log1p(text / np.maximum(tags, 1))
-    out[:, 3] = points / np.maximum(text, 1) * 100
-    out[:, 4] = text / total
-    out[:, 5] = text / np.maximum(text[up], 1)
-    out[:, 6] = paragraphs
-    out[:, 7] = items
-    out[:, 8] = np.log1p(own)
-    out[:, 9] = depth
-    out[:, 10] = negative > 0
-    out[:, 11] = positive > 0
-    out[:, 12] = above_negative > 0
-    out[:, 13] = above_positive > 0
-    out[:, 14] = place
-    out[:, 15] = siblings[up]
-    out[:, 16] = place / np.maximum(siblings[up], 1)
-    out[:, 17] = link[up] / np.maximum(text[up], 1)
-    out[:, 18] = np.log1p(text[up] / np.maximum(tags[up], 1))
-    out[:, 19] = siblings
-    known = np.array([_TAG.get(x, -1) for x in page.tags])
-    at = np.flatnonzero(known >= 0)
-    out[at, 20 + known[at]] = 1
+    columns = (
+        np.log1p(text), link / np.maximum(text, 1), np.log1p(text / count), points / np.maximum(text, 1) * 100, text / np.maximum(text[root], 1), text / np.maximum(text[up], 1), paragraphs, items, np.log1p(own), depth,
+        np.array(negative) > 0, np.array(positive) > 0, np.array(above_negative) > 0, np.array(above_positive) > 0, place, siblings[up], place / np.maximum(siblings[up], 1), link[up] / np.maximum(text[up], 1), np.log1p(text[up] / count[up]), siblings,
+        beside, side, chain, late, early, inside, mains[root], rights > 0, controls, h1s, np.log1p(text / np.maximum(paragraphs, 1)),
+        np.where(h1 < 0, 0, np.where(at > h1, 2, np.where(at + count > h1, 1, -1))), np.array(inside)[up], chain[up], np.log1p(largest[up]), known[up],
+    )
+    for k, column in enumerate(columns):
+        out[:, k] = column
+    some = np.flatnonzero(known >= 0)
+    out[some, len(columns) + known[some]] = 1
     return out
 
 
-_TAG = {x: i for i, x in enumerate(TAGS)}
-
-
 class Boosted:
     """Gradient-boosted regression trees on log-odds, over binned features."""
 
@@ -260,12 +321,13 @@ class Boosted:
         return np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(self.cuts)], 1)
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        binned = self._bin(x)
-        out, rows = np.full(len(x), self.base), np.arange(len(x))
+        n, width = x.shape
+        binned = self._bin(x).astype(np.int32).ravel()
+        out, rows = np.full(n, self.base), np.arange(n) * width
         for feature, cut, value in zip(self.feature, self.cut, self.value, strict=True):
-            node = np.ones(len(x), int)
-            for _ in range(self.depth):
-                node = 2 * node + (binned[rows, feature[node]] > cut[node])
+            node = (binned[rows + feature[1]] > cut[1]) + 2
+            for _ in range(self.depth - 1):
+                node = 2 * node + (binned[rows + feature[node]] > cut[node])
             out += value[node - 2**self.depth]
         return out
 
@@ -300,126 +362,23 @@ def render(page: Page, kept: list[bool]) -> str:
     return "\n".join(out)
 
 
-# Generated training pages
-
-
-def _maker(seed: int):
-    rng = np.random.default_rng(seed)
-    syllables = ["the", "er", "on", "an", "re", "ti", "en", "or", "ha", "st", "la", "ou", "ne", "mi", "so", "ka", "de", "ré", "ñi", "sch", "ü"]
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    chance = lambda p: rng.random() < p
-
-    def word() -> str:
-        return "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
-
-    def words(a: int, b: int) -> str:
-        n = int(rng.integers(a, b))
-        return " ".join(word() + (pick([",", ".", ""]) if chance(0.15) else "") for _ in range(n)).capitalize() + "."
-
-    def tag(names: list[str], classes: list[str], inner: str) -> str:
-        name = pick(names)
-        attribute = f' {pick(["class", "id", "class"])}="{pick(classes)}{pick(["", "", "-" + word(), " " + word()])}"' if classes and chance(0.8) else ""
-        if name == "div" and not attribute and classes:
-            attribute = f' class="{pick(classes)}"'
-        return f"<{name}{attribute}>{inner}</{name}>"
-
-    links = lambda a, b: "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(int(rng.integers(a, b)))) + "</ul>"
-    flat = lambda a, b: pick([" | ", " ", " &middot; "]).join(f'<a href="/{word()}">{word()}</a>' for _ in range(int(rng.integers(a, b))))
-
-    def rubbish() -> list[tuple[str, str]]:
-        """(place, html) of parts that aren't main text."""
-        comment = lambda: tag(["div", "li", "article", "p"], ["comment", "comment-body", "reply"], f"<b>{word()}</b> <p>{words(5, 60)}</p>" + (f"<p>{words(5, 40)}</p>" if chance(0.4) else ""))
-        return [
-            ("top", tag(["nav", "nav", "div"], ["nav", "menu", "navbar", "main-menu"], pick([links, flat])(3, 10))),
-            ("top", tag(["header", "div"], ["header", "masthead", "topbar"], f"<h1>{word()}</h1><p>{words(2, 12)}</p>" if chance(0.5) else f'<a href="/">{words(1, 4)}</a> {words(2, 9)}')),
-            ("any", tag(["div", "aside", "section"], ["ad", "ads", "advert", "sponsored", "promo", "banner"], pick([words(3, 25), f"<p>{words(4, 30)}</p>", f'<a href="/{word()}">{words(2, 9)}</a>']))),
-            ("any", tag(["div", "section", "p"], ["cookie", "cookie-notice", "notice", "consent", "alert", "gdpr"], pick([words(4, 30), f"<p>{words(4, 40)}</p><button>{word()}</button>"]))),
-            ("any", tag(["aside", "aside", "div"], ["sidebar", "side", "widget", "related", "recommended"], f"<h3>{words(1, 4)}</h3>" + pick([links(2, 8), f"<p>{words(5, 50)}</p>", flat(2, 6) + f"<p>{words(3, 25)}</p>"]))),
-            ("any", tag(["form"], ["search", "signup", "newsletter", "login"], f"<label>{words(1, 6)}</label><input name=q>" + (f"<p>{words(3, 20)}</p>" if chance(0.5) else "") + f"<button>{word()}</button>")),
-            ("end", tag(["section", "div"], ["comments", "comment-list", "discussion", "replies"], f"<h2>{words(1, 4)}</h2>" + "".join(comment() for _ in range(int(rng.integers(1, 8)))))),
-            ("end", tag(["footer", "footer", "div"], ["footer", "site-footer", "copyright", "bottom"], f"&copy; {word()}.example &middot; {words(2, 40)}" + (flat(2, 6) if chance(0.4) else ""))),
-            ("any", tag(["div", "nav", "ul"], ["breadcrumbs", "pagination", "share", "social", "tags"], flat(2, 7))),
-        ]
-
-    def main() -> str:
-        mark = lambda s: s.replace("<", "<!--m--><", 1)
-        title = words(2, 20)
-        parts = [f"<h1>{title[:60] if chance(0.6) else title.rstrip('.')}</h1>"] if chance(0.85) else []
-        for _ in range(int(rng.integers(1, 12)) if chance(0.9) else 0):
-            kind = rng.random()
-            if kind < 0.75:
-                inner = words(5, 120)
-                if chance(0.2):
-                    inner += f' <a href="/{word()}">{words(1, 6)}</a> {words(2, 30)}'
-                parts.append(pick([f"<p>{inner}</p>", f"<p>{inner}</p>", f"<p><b>{inner}<br>", f"<p>{inner}", f"<div>{inner}</div>"]))
-            elif kind < 0.82:
-                parts.append(f"<h2>{words(1, 8).rstrip('.') if chance(0.6) else words(1, 8)}</h2>")
-            elif kind < 0.89:
-                parts.append("<ul>" + "".join(f"<li>{words(2, 25)}</li>" for _ in range(int(rng.integers(2, 6)))) + "</ul>")
-            elif kind < 0.93:
-                parts.append(f"<blockquote><p>{words(5, 50)}</p></blockquote>")
-            elif kind < 0.96:
-                parts.append("<table>" + "".join(f"<tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr>" for _ in range(int(rng.integers(1, 5)))) + "</table>")
-            else:
-                parts.append(f"<pre>{words(3, 40)}</pre>")
-        return "".join(mark(p) for p in parts)
-
-    def page() -> str:
-        extra = [x for x in rubbish() if chance(0.45)]
-        inner = main()
-        inside = [h for place, h in extra if place == "any" and chance(0.25)]
-        body = pick([f"<article>{{}}</article>", "<article>{}</article>", '<div class="content">{}</div>', "<main>{}</main>", '<main><article class="post">{}</article></main>', '<div id="main"><div class="entry-content">{}</div></div>', "<section>{}</section>", '<div class="story">{}</div>']).format(inner + "".join(inside))
-        top = [h for place, h in extra if place == "top"] + [h for place, h in extra if place == "any" and h not in inside and chance(0.5)]
-        end = [h for place, h in extra if place == "any" and h not in inside and h not in top] + [h for place, h in extra if place == "end"]
-        wrap = pick(["{}", "{}", '<div class="wrapper">{}</div>', '<div id="page"><div class="container">{}</div></div>'])
-        return f"<!DOCTYPE html><html><head><title>{words(2, 9)}</title><style>p{{}}</style><script>var a=1;</script></head><body>" + wrap.format("".join(top) + body + "".join(end)) + "</body></html>"
-
-    return page
-
-
-_MARKED = re.compile(r"<!--m-->")
-
-
-def _labelled(html: str) -> tuple[Page, np.ndarray]:
-    """A generated page and whether each element holds marked text: marks become an attribute before parsing."""
-    page = Page(_MARKED.sub("", html))
-    marked = Page(re.sub(r"<!--m--><(\w+)", r'<\1 id="trainmark"', html))
-    y = np.array(["trainmark" in t for t in marked.tokens])
-    for i in range(1, len(y)):  # what is inside a marked element
-        y[i] |= y[marked.parents[i]] and "trainmark" in _ancestors(marked, i)
-    for i in range(len(y) - 1, 0, -1):
-        y[marked.parents[i]] |= y[i]
-    return page, y
-
-
-def _ancestors(page: Page, i: int) -> set[str]:
-    out: set[str] = set()
-    while i > 0:
-        out.update(page.tokens[i])
-        i = page.parents[i]
-    return out
-
-
-@lru_cache(maxsize=2)
-def trained(pages: int = 1000, seed: int = 5) -> Boosted:
-    """The model: a fixed number of generated pages, the same at every call."""
-    make = _maker(seed)
-    x, y = [], []
-    for _ in range(pages):
-        page, labels = _labelled(make())
-        use = [i for i, t in enumerate(page.tags) if i and t not in NEVER and t not in ("html", "title", "meta")]
-        x.append(features(page)[use])
-        y.append(labels[use])
-    return Boosted().fit(np.concatenate(x), np.concatenate(y).astype(float))
+@lru_cache(maxsize=1)
+def trained() -> Boosted:
+    """The model of MODEL."""
+    made, kept = Boosted(), json.loads(pkgutil.get_data(__package__, MODEL))
+    made.depth, made.bins, made.base = kept["depth"], kept["bins"], kept["base"]
+    made.cuts = [np.array(c) for c in kept["cuts"]]
+    made.feature, made.cut, made.value = ([np.array(x) for x in kept[name]] for name in ("feature", "cut", "value"))
+    return made
 
 
 def extract(pages: list[str | None], model: Boosted) -> list[str]:
     """Main text of each page; the trees see the elements of all pages at once."""
     parsed = [Page(h or "") for h in pages]
-    rows = [features(p) for p in parsed]
-    odds = model.log_odds(np.concatenate(rows)) if rows else np.empty(0)
-    ends = np.cumsum([len(r) for r in rows])
-    return [render(p, decode(p, o)) for p, o in zip(parsed, np.split(odds, ends[:-1]), strict=True)]
+    if not parsed:
+        return []
+    ends = np.cumsum([len(p.tags) for p in parsed])
+    return [render(p, decode(p, o)) for p, o in zip(parsed, np.split(model.log_odds(features(*parsed)), ends[:-1]), strict=True)]
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

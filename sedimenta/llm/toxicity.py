@@ -10,7 +10,8 @@ Thresholds are calibrated by language on a fifth of the training texts that isn'
 from common words of the text itself; the logit less the language's threshold gives the score, so .5 is the threshold.
 
 Training takes a bounded sample of labelled rows: at most MOST_TOXIC toxic and MOST_CLEAN others, the first by a hash of
-their ids. Texts are scored whole, however long. Null texts are empty ones, which get the model's bias like any text
+their ids, one row an id (the least text of those that repeat it), no text over MOST_TEXT bytes and no more than MOST_BYTES
+together. Texts are scored whole, however long. Null texts are empty ones, which get the model's bias like any text
 without known words. Null ids aren't labelled and are held out of nothing. Rows repeat if documents repeat; only the
 id and text columns are read. Without labelled rows of both kinds every score is the share of toxic labels, or 0.
 """
@@ -23,12 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.llm.words import hashed_texts, letters_only
+from sedimenta.session import scratch
 
 MOST_TOXIC, MOST_CLEAN = 4000, 8000
+MOST_BYTES, MOST_TEXT = 40 << 20, 1 << 20
 BUCKET_BITS, MIN_DOCS = 22, 3
 DIMS, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 PREFIXES = (4, 6)
@@ -248,19 +251,27 @@ def _calibrate(model: Model, docs: list[np.ndarray], labels: np.ndarray, check:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """id, text and label of the training rows: those whose crc32 of the id isn't divisible by five, bounded by kind."""
+    """id, text, label, crc and h of the training rows: those whose crc32 of the id isn't divisible by five, bounded by kind and bytes."""
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     rows = rows.where("id is not null and label in (0, 1)").where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).groupBy("id").agg(F.max("label").alias("label"))
     first = lambda kind, n: rows.where(F.col("label") == kind).orderBy(F.xxhash64("id"), "id").limit(n)
     some = F.broadcast(first(1, MOST_TOXIC).unionByName(first(0, MOST_CLEAN)))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(some, "id")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    met = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.octet_length("text") <= MOST_TEXT).join(some, "id")
+    one = met.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    crc = F.crc32(F.col("id").cast("string").cast("binary"))
+    folder = scratch(docs.sparkSession, "toxicity")
+    one.select("*", crc.alias("crc"), F.xxhash64("id").alias("h"), F.octet_length("text").alias("size")).write.parquet(folder)
+    kept = docs.sparkSession.read.parquet(folder)  # MOST_TOXIC + MOST_CLEAN rows at most
+    held = F.sum("size").over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = kept.select("id", held.alias("held")).where(F.col("held") <= MOST_BYTES).select("id")
+    return kept.join(F.broadcast(fitting), "id", "left_semi").select("id", "text", "label", "crc", "h")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the bounded sample; its rows come to the driver in the order of a hash of their ids."""
-    sample = labelled_sample(docs, labels, id_col, text_col, label_col)
-    table = sample.select("text", "label", F.crc32(F.col("id").cast("string").cast("binary")).alias("crc"), F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t")).toArrow()
-    order = pc.sort_indices(table.select(["h", "t"]), [("h", "ascending"), ("t", "ascending")])
+    table = labelled_sample(docs, labels, id_col, text_col, label_col).toArrow()
+    order = pc.sort_indices(table.select(["h", "id"]), [("h", "ascending"), ("id", "ascending")])
     texts, rest = table.column("text").take(order).combine_chunks(), table.select(["label", "crc"]).take(order)
     del table
     return train(texts, np.asarray(rest.column("label")).astype(np.int64), np.asarray(rest.column("crc")) % 5 == 1)

@@ -2,11 +2,12 @@
 
 The table has a row for each chunk of a record: record_id, chunk_no, data, and what is known so far - bytes_so_far and
 sha1_so_far of the payload up to and with this chunk - and last. Payloads go through in pieces of CHUNK bytes both
-ways: the writer gets them as chunk rows in order, the reader streams a gzip member and gives a row for each piece, so
-neither holds a record.
+ways: they are cut where they are read, chunk rows are joined with what is decided for their digest and reach the writer
+in order; the reader streams a gzip member and gives a row for each piece, so neither holds a record.
 
 Of the records with equal payloads of at least min_bytes bytes, that with the largest id is a response and the others
-are revisits that name it; smaller ones are all responses. Rows that repeat the largest id are responses too. Null
+are revisits that name it; smaller ones are all responses. Rows that repeat the largest id are responses too. A record's
+URN is that of its id and digest; of rows that repeat both, those after the first in a file have URNs of their own. Null
 payloads are empty ones. Rows with a null id are written as responses, never referred to, and read back with a null
 id. A null URL leaves the target out. An empty table gives an empty archive and no rows. Only the named columns are
 read.
@@ -39,32 +40,28 @@ def base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def record_urn(record_id: int | None, salt: str = "") -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'sedimenta:{record_id}:{salt}')}>"
+def record_urn(record_id: int | None, sha1: bytes, salt: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'sedimenta:{record_id}:{sha1.hex()}:{salt}')}>"
 
 
-def decide(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """record_id, uri, payload, sha1 (hex), size, record_type and refers_to of every row.
+def decided_chunks(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """record_id, uri, sha1 (hex), size, record_type, refers_to, chunk_no and data: records whole and in order in a partition.
 
-    The largest id of each digest is a partial aggregate; it's joined back on the digest, where adaptive execution can
-    split a payload that very many records share.
+    Payloads are cut into pieces where they are read; an empty one has one empty piece, and so has a revisit. The largest
+    id of each digest is a partial aggregate; it's joined to the pieces on the digest, where adaptive execution can split a
+    payload that very many records share, by the tasks that read it.
     """
     payload = F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("record_id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
     first = rows.where(F.col("record_id").isNotNull() & (F.col("size") >= min_bytes)).groupBy("sha1", "size").agg(F.max("record_id").alias("response"))
-    joined = rows.join(first, ["sha1", "size"], "left")
-    again = F.col("record_id") != F.col("response")
-    return joined.select("record_id", "uri", "payload", "sha1", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("response")).alias("refers_to"))
-
-
-def to_chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The chunk rows of decided records, in order within their partition; a revisit has one empty chunk."""
-    size = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("size"))
-    cut = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(size / chunk) - 1).cast("int"))
-    rows = records.withColumn("chunk_no", F.explode(cut))
-    data = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})"))
-    return rows.select("record_id", "uri", "sha1", "size", "record_type", "refers_to", "chunk_no", data.alias("data"))
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / chunk) - 1).cast("int"))
+    pieces = F.transform(numbers, lambda k: F.substring("payload", k * chunk + 1, F.lit(chunk)))
+    chunks = rows.select("row", "record_id", "uri", "sha1", "size", F.posexplode(pieces).alias("chunk_no", "data"))
+    joined = chunks.join(first, ["sha1", "size"], "left")
+    again = F.coalesce(F.col("record_id") != F.col("response"), F.lit(False))
+    kept = joined.where(~again | (F.col("chunk_no") == 0)).sortWithinPartitions("sha1", "size", "record_id", "row", "chunk_no")
+    return kept.select("record_id", "uri", "sha1", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("response")).alias("refers_to"), "chunk_no", F.when(again, F.lit(b"")).otherwise(F.col("data")).alias("data"))
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
@@ -88,13 +85,13 @@ class Writer:
 
     def begin(self, record_id: int | None, uri: str | None, kind: str, refers_to: int | None, sha1: bytes, size: int, salt: str = "") -> None:
         self.member = zlib.compressobj(6, zlib.DEFLATED, 31)
-        fields = [("WARC-Type", kind), ("WARC-Record-ID", record_urn(record_id, salt)), ("WARC-Date", EPOCH), ("WARC-Payload-Digest", f"sha1:{base32(sha1)}"), ("X-Payload-Bytes", str(size))]
+        fields = [("WARC-Type", kind), ("WARC-Record-ID", record_urn(record_id, sha1, salt)), ("WARC-Date", EPOCH), ("WARC-Payload-Digest", f"sha1:{base32(sha1)}"), ("X-Payload-Bytes", str(size))]
         if record_id is not None:
             fields.append(("X-Record-Number", str(record_id)))
         if uri is not None:
             fields.append(("WARC-Target-URI", _clean(uri)))
         if kind == "revisit":
-            fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_urn(refers_to)), ("X-Refers-To-Number", str(refers_to))]
+            fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_urn(refers_to, sha1)), ("X-Refers-To-Number", str(refers_to))]
         body = 0 if kind == "revisit" else size
         fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(HTTP) + body))]
         self._put(self.member.compress(_header(fields) + HTTP))
@@ -114,7 +111,7 @@ def write_archives(chunks: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, writer, stream, name, n = TaskContext.get().partitionId(), None, None, "", 0
+        part, writer, stream, name, n, last = TaskContext.get().partitionId(), None, None, "", 0, None
 
         def close() -> pa.RecordBatch:
             stream.close()
@@ -136,7 +133,9 @@ def write_archives(chunks: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
                         stream, n = fs.open_output_stream(at, compression=None), 0
                         writer = Writer(stream)
                     n += 1
-                    writer.begin(ids[i], uris[i], kinds[i], refers[i], bytes.fromhex(shas[i]), sizes[i], f"{name}:{n}" if ids[i] is None else "")
+                    again = ids[i] is None or last == (ids[i], shas[i])
+                    writer.begin(ids[i], uris[i], kinds[i], refers[i], bytes.fromhex(shas[i]), sizes[i], f"{name}:{n}" if again else "")
+                    last = ids[i], shas[i]
                 writer.data(batch.column(7)[i].as_py())
         if writer:
             writer.end()
@@ -266,6 +265,6 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, id_col: str
     """Write pages to archives and read them back: payload_bytes, payload_digest, record_type and refers_to of each record."""
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
-    write_archives(to_chunks(decide(pages, id_col, uri_col, payload_col, min_bytes)), folder)
+    write_archives(decided_chunks(pages, id_col, uri_col, payload_col, min_bytes), folder)
     chunks = read_chunks(spark, folder, with_data=False)
     return chunks.where("last").select(F.col("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -147,17 +147,19 @@ def hashed_texts(column: pa.Array, spaces: np.ndarray = SPACES, prefixes: tuple[
         yield at, (long := np.concatenate(held)), np.array([0, len(long)])
 
 
-def shingle_set(words: np.ndarray, size: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles, chained word by word; fewer words than size make one shingle."""
-    n = len(words)
-    if not n:
-        return words
+def chained(words: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of every width words that follow one another."""
+    n = max(len(words) - width + 1, 0)
+    h = np.full(n, 0x51ED270B * (width + 1), np.uint64)
     with np.errstate(over="ignore"):
-        width = min(n, size)
-        h = np.full(n - width + 1, 0x51ED270B * (width + 1), np.uint64)
         for k in range(width):
-            h = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) + words[k : n - width + 1 + k]
-        return np.unique(mix(h))
+            h = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) + words[k : n + k]
+        return mix(h)
+
+
+def shingle_set(words: np.ndarray, size: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; fewer words than size make one shingle."""
+    return np.unique(chained(words, min(len(words), size))) if len(words) else words
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

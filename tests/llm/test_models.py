@@ -1,10 +1,11 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from sedimenta.llm import html_extract, toxicity
+from sedimenta.llm import html_extract, html_training, toxicity
 
 HOME = "<html><body><nav><a href=/a>Menu</a></nav><div class=ad>Buy this now, please.</div><article><h1>A headline about things</h1><p>First &amp; only   paragraph,\nwith words enough to be one.</p><p>Second one<br>goes on, and it has a comma.<script>x</script></p></article><div id=comments><p>I don't agree with this at all, sorry.</p></div><footer>&copy; someone, somewhere.</footer>"
 
@@ -28,9 +29,9 @@ def test_main_text(spark, model):
 
 
 def test_held_out_pages(model):
-    make, right, n = html_extract._maker(4242), 0, 0
+    make, right, n = html_training.maker(4242), 0, 0
     for _ in range(150):
-        page, y = html_extract._labelled(make())
+        page, y = html_training.labelled(make())
         kept = html_extract.decode(page, model.log_odds(html_extract.features(page)))
         for i in range(1, len(kept)):
             assert not kept[i] or kept[page.parents[i]]
@@ -95,3 +96,24 @@ def test_model_survives_pickling(spark):
     again = pickle.loads(pickle.dumps(model))
     for _, buckets, edges in toxicity.bucketed(pa.array([t for _, t, _ in rows])):
         assert np.allclose(model.scores(buckets, edges), again.scores(buckets, edges))
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """One row an id however often documents repeat it, no long text, and no more than the bytes allowed."""
+    docs = spark.createDataFrame([(1, f"t{k}", "x") for k in range(500)] + [(3, "b", "x"), (4, None, "x"), (6, "long " * 300_000, "x")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
+    got = {r.id: (r.text, r.label) for r in toxicity.labelled_sample(docs, labels).collect()}
+    assert got == {i: x for i, x in {1: ("t0", 1), 3: ("b", 1), 4: ("", 0)}.items() if zlib.crc32(str(i).encode()) % 5}
+    assert toxicity.labelled_sample(docs, labels).count() == len(got)
+    many = spark.createDataFrame([(i, "w" * 100) for i in range(400)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 2050)
+    assert toxicity.labelled_sample(many, marks).count() == 20
+
+
+def test_toxicity_with_clashing_columns(odd, none):
+    labels = odd.sparkSession.createDataFrame([(i, i % 2, "x", "y") for i in range(1, 9)], "doc_id long, toxic int, text string, id string")
+    model = toxicity.fit(odd, labels)
+    assert toxicity.score(odd, model).columns == ["doc_id", "held_out", "score", "predicted"]
+    assert toxicity.score(odd, model).count() == odd.count()
+    assert toxicity.reject(odd, model).columns == odd.columns and toxicity.reject(none, model).count() == 0

@@ -3,6 +3,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedimenta.llm import chat, warc
@@ -40,7 +41,7 @@ def test_small_payloads_are_responses(pages):
 
 def test_chunk_table(pages, tmp_path):
     folder = f"file://{tmp_path}/w"
-    warc.write_archives(warc.to_chunks(warc.decide(pages), 1000), folder, file_bytes=10)
+    warc.write_archives(warc.decided_chunks(pages, chunk=1000), folder, file_bytes=10)
     rows = warc.read_chunks(pages.sparkSession, folder).where("record_id = 5").orderBy("chunk_no").collect()
     assert len(rows) > 4 and [r.chunk_no for r in rows] == list(range(len(rows)))
     sha, size = hashlib.sha1(), 0
@@ -51,6 +52,20 @@ def test_chunk_table(pages, tmp_path):
     assert b"".join(bytes(r.data) for r in rows) == BIG.encode()
 
 
+def test_record_ids_are_unique(pages, spark, tmp_path):
+    """Rows that repeat an id, with other payloads or the same one, and null ids; a revisit names its response's record."""
+    more = spark.createDataFrame([(2, "u", "other", 0), (2, "u", "other", 0), (None, None, None, 0)], pages.schema)
+    warc.write_archives(warc.decided_chunks(pages.unionByName(more)), f"file://{tmp_path}/w")
+    kinds, refers = {}, set()
+    for path in (tmp_path / "w" / "archives").iterdir():
+        for fields, pieces in warc.Reader(path.open("rb")).records():
+            assert kinds.setdefault(fields["WARC-Record-ID"], fields["WARC-Type"]) == fields["WARC-Type"]
+            refers.add(fields.get("WARC-Refers-To"))
+            list(pieces)
+    assert len(kinds) == len(PAGES) + 3
+    assert {kinds[r] for r in refers - {None}} == {"response"}
+
+
 def test_reader_finds_damage():
     out = io.BytesIO()
     w = warc.Writer(out)
@@ -83,6 +98,26 @@ def test_chat_digests(spark):
     assert chat.conversation_digests(chat.format_turns(chat.canonical_turns(rows.where("false")))).count() == 0
 
 
+def test_conversations_without_messages_and_other_ids(spark):
+    kind = "id string, messages array<struct<role:string,content:string>>, turn int"
+    rows = spark.createDataFrame([("a", [("user", "x"), None], 7), ("b", [], 7), ("c", None, None), (None, [("assistant", "y")], 7)], kind)
+    formatted = chat.format_turns(chat.canonical_turns(rows))
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.formatted_chars > 0) for r in chat.conversation_digests(formatted).collect()}
+    assert got == {"a": (2, 0, True), "b": (0, 0, False), "c": (0, 0, False), None: (1, 1, True)}
+    assert formatted.schema["conv_id"].dataType.simpleString() == "string"
+
+
+def test_ids_from_the_table_stay(spark):
+    """Ids of layouts without one are written before they are used, so every pass sees the same."""
+    rows = spark.range(200).select(F.col("id").cast("string").alias("prompt"), F.col("id").cast("string").alias("completion")).repartition(5)
+    turns = chat.canonical_turns(rows)
+    first = {(r.conv_id, r.text) for r in turns.collect()}
+    assert first == {(r.conv_id, r.text) for r in turns.repartition(3).collect()}
+    assert len({i for i, _ in first}) == 200
+    digests = chat.conversation_digests(chat.format_turns(turns)).collect()
+    assert {r.n_turns for r in digests} == {2} and len(digests) == 200
+
+
 def test_layouts(spark):
     message = "array<struct<role:string,content:string>>"
     cases = [

@@ -3,7 +3,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 
 from sedimenta.llm import decontam, graph, neardup, topk
 from sedimenta.llm.words import hashed_texts, jaccard_at_least, shingle_set
@@ -37,8 +36,39 @@ def test_wide_integers():
     search = topk.BlockSearch(np.array([1]), np.array([[2**30, 2**30]]), 2)
     search.meet(np.array([2, 3]), np.array([[2**30, 1], [2**30, 2]]))
     assert search.result().to_pydict()["score"] == [2**60 + 2**31, 2**60 + 2**30]
-    with pytest.raises(OverflowError):
-        search.meet(np.array([4]), np.array([[2**40, 2**40]]))
+    search.meet(np.array([6, 5, 4]), np.array([[2**40, 2**40], [2**50, 2**50], [-(2**60), 2**60 + 4]]))
+    assert search.result().to_pydict() == {"query_id": [1, 1], "id": [5, 6], "score": [2**63 - 1] * 2}
+
+
+def test_huge_components(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e18, 1.0]), (2, [-1e18, 0.0]), (3, [1e300, -1e300]), (4, [3.0, 1.0]), (5, [1e18, 1e18])]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    ints = {r.id: r.ints for r in df.collect()}
+    got = {}
+    for r in topk.exact_topk(df, df, 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    for q, v in ints.items():
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(v, w, strict=True)))), i) for i, w in ints.items() if i != q)[:3]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+
+
+def test_blocks_are_dealt_evenly(spark, monkeypatch):
+    """Many small blocks, several lengths of vector and ids that are null or repeat: as brute force."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 7)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(topk, "KEPT", 2)
+    rng = random.Random(4)
+    rows = [(i, [rng.randrange(-9, 9) / 4 for _ in range(3 + i % 2)]) for i in range(150)]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4))
+    ints = {r.id: r.ints for r in df.collect()}
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in topk.exact_topk(df.where("id % 3 = 0"), df, 4).collect()}
+    want = {}
+    for q, v in ints.items():
+        if q % 3 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in ints.items() if i != q and len(w) == len(v))[:4]
+            want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scores)}
+    assert got == want
+    assert len(topk._deals(spark, 7)) == 7
 
 
 def test_components(spark):
