@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ _B = np.array([b for _, b in hash_family()], np.uint64)
 _P = np.uint64(PRIME)
 
 
+#: Hashes whose leaders are settled in a round.
+ROUND = 8192
+
+
 @lru_cache(maxsize=1 << 18)
 def token_hash(shingle: bytes) -> int:
     """The first eight bytes of the md5 of a shingle's hex."""
@@ -126,46 +132,97 @@ def cluster(payloads: DataFrame, order: str = "idx", threshold: float = 0.85, fo
     return cluster_prints(prints, order, threshold, folder).select(order, "cluster_id", "leader", "simhash", "preview")
 
 
+class Leaders:
+    """Leaders of a round in their order, and the first of them within a distance of each of many hashes.
+
+    Two hashes within distance d differ in one bit at most in one of d // 2 + 1 bands, so a leader stands in a bucket of
+    each band for its own value and for each value that is one bit away, and a hash looks into one bucket a band. Large
+    distances leave bands too short to tell; then every leader is compared.
+    """
+
+    def __init__(self, bits: np.ndarray, firsts: np.ndarray, most: int):
+        self.bits, self.firsts, self.most = bits, firsts, most
+        self.bands = []
+        n = max(most, 0) // 2 + 1
+        cuts = [round(i * 64 / n) for i in range(n + 1)] if n <= 8 else []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi - lo > 20:  # few bands: buckets by a part of the band, which differs in one bit at most too
+                hi = lo + 20
+            wide = hi - lo
+            part = (bits >> np.uint64(lo) & np.uint64((1 << wide) - 1)).astype(np.int64)
+            place = np.concatenate([part, *(part ^ (1 << k) for k in range(wide))])
+            who = np.tile(np.arange(len(bits)), 1 + wide)
+            order = np.argsort(place, kind="stable")
+            self.bands.append((lo, wide, np.searchsorted(place[order], np.arange((1 << wide) + 1)), who[order]))
+
+    def first_of(self, bits: np.ndarray) -> np.ndarray:
+        """The order of the first leader within the distance of each hash, and whether there is one."""
+        best = np.full(len(bits), len(self.bits))
+        for at in range(0, len(bits), 4096):
+            some = bits[at : at + 4096]
+            mine = best[at : at + 4096]
+            if not self.bands:
+                for k in range(0, len(self.bits), 1024):
+                    near = np.bitwise_count(some[:, None] ^ self.bits[None, k : k + 1024]) <= self.most
+                    np.minimum(mine, np.where(near.any(1), k + near.argmax(1), len(self.bits)), out=mine)
+            for lo, wide, starts, who in self.bands:
+                part = (some >> np.uint64(lo) & np.uint64((1 << wide) - 1)).astype(np.int64)
+                n = starts[part + 1] - starts[part]
+                row = np.repeat(np.arange(len(some)), n)
+                leader = who[np.arange(n.sum()) + np.repeat(starts[part] - np.cumsum(n) + n, n)]
+                near = np.bitwise_count(some[row] ^ self.bits[leader]) <= self.most
+                np.minimum.at(mine, row[near], leader[near])
+        return best
+
+
+def leaders_of(bits: np.ndarray, most: int) -> np.ndarray:
+    """Places of those hashes that lead, in order: each that's not within the distance of one before it that leads."""
+    free, out = np.ones(len(bits), bool), []
+    for i in range(len(bits)):
+        if free[i]:
+            out.append(i)
+            free &= np.bitwise_count(bits ^ bits[i]) > most
+    return np.array(out, np.int64)
+
+
 def cluster_prints(prints: DataFrame, order: str = "idx", threshold: float = 0.85, folder: str | None = None) -> DataFrame:
     """prints (order, bits and more) with cluster_id and leader.
 
-    A payload joins the first leader within the distance, else it leads. Equal hashes share their first; two hashes within
-    distance d differ in one bit at most in one of d // 2 + 1 bands (an exact equi-join of bands and their one-bit
-    neighbours); then leaders are settled in rounds: one without an
-    earlier undecided or leading neighbour leads, one with a leading earlier neighbour follows.
+    A payload joins the first leader within the distance, else it leads. Equal hashes share their first. A round takes the
+    ROUND first hashes that are left, settles who of them leads, and sends these leaders to all that are left: whoever is
+    within the distance of one follows the first such and is done, since all earlier leaders have been met before. So
+    pairs of followers are never made, what's broadcast is bounded, and large groups are done in their first round.
     """
     spark, most = prints.sparkSession, largest_distance(threshold)
     folder = folder or scratch(spark, "cluster")
     firsts = prints.groupBy("bits").agg(F.min(order).alias("first"))
-    if most >= 64:
-        bands = probes = firsts.select("bits", "first", F.lit(0).alias("band"), F.lit(0).cast("long").alias("part"))
-    else:
-        n = max(most, 0) // 2 + 1
-        cuts = [round(i * 64 / n) for i in range(n + 1)]
-        parts = [(i, hi - lo, F.shiftrightunsigned(F.shiftleft("bits", 64 - hi), 64 - (hi - lo))) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-        placed = lambda i, part: F.struct(F.lit(i).alias("band"), part.alias("part"))
-        bands = firsts.select("bits", "first", F.inline(F.array(*[placed(i, part) for i, _, part in parts])))
-        masks = lambda wide: [0, *(1 << k for k in range(wide))]
-        probes = firsts.select("bits", "first", F.inline(F.array(*[placed(i, part.bitwiseXOR(F.lit(signed(m)).cast("long"))) for i, wide, part in parts for m in masks(wide)])))
-    a, b = bands.select("band", "part", F.col("bits").alias("x"), F.col("first").alias("earlier")), probes.select("band", "part", F.col("bits").alias("y"), F.col("first").alias("later"))
-    near = a.join(b, ["band", "part"]).where("earlier < later").where(hamming(F.col("x"), F.col("y")) <= most).select("earlier", "later").distinct()
-    near.write.parquet(f"{folder}/near")
-    near = spark.read.parquet(f"{folder}/near")
-    firsts.select(F.col("first").alias("node"), F.lit(None).cast("boolean").alias("leads")).write.parquet(f"{folder}/state-0")
-    state, k = spark.read.parquet(f"{folder}/state-0"), 0
-    while state.where("leads is null").limit(1).count():
+    firsts.write.parquet(f"{folder}/left-0")
+    left, done, k = spark.read.parquet(f"{folder}/left-0"), [], 0
+    while some := left.orderBy("first").limit(ROUND).collect():
         k += 1
-        above = near.join(state.select(F.col("node").alias("earlier"), F.col("leads").alias("up")), "earlier").where("up is null or up").groupBy("later").agg(F.max(F.coalesce("up", F.lit(False))).alias("follows"))
-        joined = state.join(above, state["node"] == above["later"], "left")
-        leads = F.coalesce(state["leads"], F.when(F.col("follows"), False).when(F.col("later").isNull(), True))
-        joined.select("node", leads.alias("leads")).write.parquet(f"{folder}/state-{k}")
-        state = spark.read.parquet(f"{folder}/state-{k}")
-    leaders = state.where("leads").select(F.col("node").alias("leader"))
-    followed = near.join(leaders, F.col("earlier") == F.col("leader"), "left_semi").groupBy("later").agg(F.min("earlier").alias("to"))
-    of = state.join(followed, F.col("node") == F.col("later"), "left").select("node", F.when(F.col("leads"), F.col("node")).otherwise(F.col("to")).alias("leader"))
-    ranked = _ranks(leaders, folder)
-    placed = of.join(ranked, "leader").select("node", "leader", F.col("rank").alias("cluster_id"))
-    return prints.join(firsts, "bits").join(placed, F.col("first") == F.col("node")).drop("first", "node")
+        bits = np.array([r.bits for r in some], np.int64).view(np.uint64)
+        led = leaders_of(bits, most) if most >= 0 else np.arange(len(bits))
+        shared = spark.sparkContext.broadcast((bits[led], np.array([some[i]["first"] for i in led], np.int64)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bits, firsts = shared.value
+            leaders = Leaders(bits, firsts, max(most, 0))
+            known = np.append(firsts, 0)
+            for batch in batches:
+                found = leaders.first_of(np.asarray(batch.column(0)).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known[found], mask=found == len(firsts))], names=["bits", "first", "leader"])
+
+        left.mapInArrow(run, "bits long, first long, leader long").write.parquet(f"{folder}/met-{k}")
+        met = spark.read.parquet(f"{folder}/met-{k}")
+        done.append(f"{folder}/met-{k}")
+        left = met.where("leader is null").select("bits", "first")
+    if not done:
+        done = [f"{folder}/met-0"]
+        left.withColumn("leader", F.col("first")).write.parquet(done[0])
+    of = spark.read.parquet(*done).where("leader is not null").select("bits", "leader")
+    ranked = _ranks(of.select("leader").distinct(), folder)
+    placed = of.join(ranked, "leader").select("bits", "leader", F.col("rank").alias("cluster_id"))
+    return prints.join(placed, "bits")
 
 
 def _ranks(leaders: DataFrame, folder: str) -> DataFrame:

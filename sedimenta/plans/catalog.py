@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.fixed import CODE_BYTES, OBFUSCATIONS, PHP, PRIME, SCRIPTS, SHEBANG, SIGNATURES, ZERO_WIDTH, baseline, hash_family
-from sedimenta.operators import bytestats, decode, fingerprints, markov, ngrams, paths, polyglot, rules, shellcode, structure, threats
+from sedimenta.operators import bytestats, decode, fingerprints, ngrams, paths, polyglot, rules, shellcode, structure, threats
+from sedimenta.plans import reports
 from sedimenta.sources.corpus import CORPUS_SQL, fixtures, payload_corpus
 from sedimenta.session import ship
 
@@ -51,13 +52,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     over = {
         "byte_entropy": bytestats.byte_entropy, "entropy_class": bytestats.entropy_class, "byte_histogram": bytestats.byte_histogram, "char_classes": bytestats.char_classes, "top_bytes": bytestats.top_bytes,
         "sliding_entropy": bytestats.sliding_entropy, "chi_square": bytestats.chi_square, "monte_carlo_pi": bytestats.monte_carlo_pi, "serial_correlation": bytestats.serial_correlation, "randomness_report": bytestats.randomness_report,
-        "compression_ratio": bytestats.compression_ratio, "entropy_profile": bytestats.entropy_profile,
+        "compression_ratio": bytestats.compression_ratio, "entropy_profile": reports.entropy_profile,
         "ngram_freq": lambda d: ngrams.ngram_frequencies(d).drop("first_pos"), "trigram_freq": lambda d: ngrams.ngram_frequencies(d, 3).drop("first_pos"), "transition_matrix": ngrams.transition_matrix, "transition_entropy": ngrams.transition_entropy, "kl_divergence": ngrams.kl_divergence, "top_bigrams": ngrams.top_bigrams,
-        "simhash": lambda d: fingerprints.simhash(d).drop("bits"), "minhash": fingerprints.minhash_rows, "markov_profile": markov.profile,
+        "simhash": lambda d: fingerprints.simhash(d).drop("bits"), "minhash": fingerprints.minhash_rows, "markov_profile": reports.markov_profile,
         "threat_matches": lambda d: threats.threat_matches(d).select("source", "payload_id", "sig", "category", "cwe", "mitre", "weight", "matched_subpattern"), "threat_scores": threats.threat_scores, "threat_primary": threats.threat_primary, "cwe_mappings": threats.cwe_mappings, "threat_summary": threats.threat_summary, "threat_report": threats.threat_report,
-        "waf_rules": rules.waf_rules, "ast_matches": structure.obfuscation_matches, "ast_score": structure.obfuscation_score, "ast_report": structure.obfuscation_report, "zero_width": structure.zero_width,
-        "polyglot_formats": polyglot.polyglot_formats, "embedded_scripts": polyglot.embedded_scripts, "polyglot_class": polyglot.polyglot_class, "polyglot_report": polyglot.polyglot_report,
-        "shellcode_score": shellcode.shellcode_score, "shellcode_report": shellcode.report, "nop_runs": shellcode.nop_runs,
+        "waf_rules": rules.waf_rules, "ast_matches": structure.obfuscation_matches, "ast_score": structure.obfuscation_score, "ast_report": reports.ast_report, "zero_width": structure.zero_width,
+        "polyglot_formats": polyglot.polyglot_formats, "embedded_scripts": polyglot.embedded_scripts, "polyglot_class": polyglot.polyglot_class, "polyglot_report": reports.polyglot_report,
+        "shellcode_score": shellcode.shellcode_score, "shellcode_report": reports.shellcode_report, "nop_runs": shellcode.nop_runs,
         "deobfuscate": decode.deobfuscate, "html_decode": decode.html_decode, "url_decode": lambda d: decode.single_layers(d, "url"), "hex_decode": lambda d: decode.single_layers(d, "hex"), "concat_collapse": lambda d: decode.single_layers(d, "concat"), "base64_decode": lambda d: decode.single_layers(d, "base64"),
         "local_origin": paths.local_origins, "safe_path": paths.safe_paths,
     }
@@ -172,6 +173,9 @@ def _code() -> str:
 points AS (SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round_even(least(1.0::DOUBLE, CASE WHEN nops IS NOT NULL THEN least(0.4::DOUBLE, 0.1::DOUBLE + 0.05::DOUBLE * (nops // 8)) ELSE 0.0::DOUBLE END + {points} + CASE WHEN n >= 32 AND odd * 1.0::DOUBLE / n > 0.45 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END), 4) END AS score FROM marks)"""
 
 
+_VERDICT = "score, score >= 0.5 AS is_probable_shellcode, nops IS NOT NULL OR poly_nop AS nop_sled_detected, call_pop OR fpu AS getpc_detected, syscall OR int80 OR sysenter AS syscall_detected, CASE WHEN n > 0 THEN round_even(odd * 1.0::DOUBLE / n, 4) END AS non_printable_ratio"
+
+
 def oracle_sql() -> dict[str, str]:
     keys = "source, payload_id"
     with_corpus = f"WITH {CORPUS_SQL}"
@@ -215,13 +219,39 @@ FROM (SELECT x.source, x.payload_id, x.s AS a, y.s AS b, x.m AS ma, y.m AS mb FR
         "polyglot_formats": f"{with_corpus}, {_HEXF}, {_LATIN}, {_MAGIC} SELECT {keys}, array_to_string(f, ',') AS formats FROM base",
         "embedded_scripts": f"{with_corpus}, {_HEXF}, {_LATIN}, {_MAGIC}{_found_scripts()} SELECT {keys}, (unnest(range(len(s))))::INTEGER AS n, unnest(s) AS script FROM poly",
         "polyglot_class": f"{with_corpus}, {_HEXF}, {_LATIN}, {_MAGIC}{_found_scripts()}{_LADDER} SELECT {keys}, k[1] AS polyglot_class, k[2]::DOUBLE AS risk_score, array_to_string(f, ',') AS formats FROM kinds",
-        "shellcode_score": f"{with_corpus}, {_HEX2}, {_LATIN}{_code()} SELECT {keys}, score, score >= 0.5 AS is_probable_shellcode, nops IS NOT NULL OR poly_nop AS nop_sled_detected, call_pop OR fpu AS getpc_detected, syscall OR int80 OR sysenter AS syscall_detected, CASE WHEN n > 0 THEN round_even(odd * 1.0::DOUBLE / n, 4) END AS non_printable_ratio FROM points",
+        "shellcode_score": f"{with_corpus}, {_HEX2}, {_LATIN}{_code()} SELECT {keys}, {_VERDICT} FROM points",
         "nop_runs": f"{with_corpus}, {_HEX2}, runs AS (SELECT source, payload_id, list_max(list_transform(regexp_extract_all(array_to_string(list_transform(regexp_extract_all(h, '..'), lambda x: CASE x WHEN '90' THEN 'N' ELSE '.' END), ''), 'N{{8,}}'), lambda x: length(x))) AS longest_run FROM hexed) SELECT {keys}, longest_run::INTEGER AS longest_run FROM runs WHERE longest_run IS NOT NULL",
     }
+    out["polyglot_report"] = f"{with_corpus}, {_HEXF}, {_LATIN}, {_MAGIC}{_found_scripts()}{_LADDER} SELECT {keys}, {reports.polyglot_columns()} FROM kinds".replace("poly AS (SELECT source, payload_id, t,", "poly AS (SELECT source, payload_id, t, zipped,")
+    out["shellcode_report"] = f"{with_corpus}, {_HEX2}, {_LATIN}{_code()} SELECT {keys}, {_VERDICT}, CASE WHEN n > 0 THEN score >= 0.5 END AS is_shellcode_likely, {reports.code_indicators()} AS indicators FROM points"
+    out["ast_report"] = f"{with_corpus}, tech AS ({_TECH}), found AS (SELECT c.source, c.payload_id, c.payload, coalesce(sum(weight), 0) AS w, coalesce(list(category ORDER BY category) FILTER (WHERE category IS NOT NULL), []) AS t FROM corpus c LEFT JOIN tech USING (source, payload_id) GROUP BY c.source, c.payload_id, c.payload), hinted AS (SELECT *, {reports.HINT_LIST} AS hints FROM found) SELECT {keys}, w >= 25 AS obfuscation_detected, least(100.0, w)::DOUBLE AS complexity_score, array_to_string(t, chr(10)) AS evasion_techniques, {reports.constructs(_ZW)} AS detected_constructs, {reports.HINT_LINES} AS deobfuscation_hints FROM hinted"
+    out["hex_decode"] = f"{with_corpus}, one AS (SELECT source, payload_id, {reports.replaced('payload', r'\\x[0-9a-fA-F]{2}', reports.ESCAPED)} AS p FROM corpus) SELECT {keys}, {reports.replaced('p', r'\\u[0-9a-fA-F]{4}', reports.ESCAPED)} AS decoded FROM one"
+    out["base64_decode"] = f"{with_corpus} SELECT {keys}, {reports.replaced('payload', decode.BASE64, reports.DECODED_BLOCK)} AS decoded FROM corpus"
+    out["url_decode"] = f"{with_corpus} SELECT {keys}, url_decode(payload) AS decoded FROM corpus"
+    out["safe_path"] = f"{with_corpus}, cut AS (SELECT source, payload_id, list_filter(string_split(replace(url_decode(payload), chr(92), '/'), '/'), lambda x: x NOT IN ('', '.')) AS p FROM corpus WHERE source IN ('urls', 'fixtures')) SELECT {keys}, CASE WHEN list_contains(p, '..') OR contains(coalesce(p[1], ''), ':') THEN '' ELSE array_to_string(p, '/') END AS safe_path FROM cut"
+    place = "CASE source " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(CLUSTERED)) + " END"
+    out["cluster_payloads"] = "WITH RECURSIVE " + _bytes(f"""SELECT idx, dense_rank() OVER (ORDER BY leader) AS cluster_id, leader, lower(printf('%016x', s)) AS simhash
+FROM prints JOIN (SELECT f.s, l.first AS leader FROM go JOIN firsts f USING (k) JOIN firsts l ON l.s = go.leader) USING (s)""", _HEX2, _SHINGLES + _SIM + f""", prints AS MATERIALIZED (SELECT {place} * 1000000000000 + h.payload_id AS idx, coalesce(s, 0::UBIGINT) AS s FROM hexed h LEFT JOIN sim USING (source, payload_id)),
+firsts AS MATERIALIZED (SELECT s, min(idx) AS first, row_number() OVER (ORDER BY min(idx)) AS k FROM prints GROUP BY s),
+go AS (SELECT 0::BIGINT AS k, []::UBIGINT[] AS led, NULL::UBIGINT AS leader UNION ALL SELECT k, CASE WHEN hit IS NULL THEN list_append(led, s) ELSE led END, coalesce(hit, s)
+  FROM (SELECT f.k, f.s, led, list_filter(led, lambda x: bit_count(xor(x, f.s)) <= {fingerprints.largest_distance(0.85)})[1] AS hit FROM go JOIN firsts f ON f.k = go.k + 1))""").removeprefix("WITH ")
     wins = """, dims AS (SELECT source, payload_id, n, CASE WHEN n >= 8 AND n < 32 THEN greatest(4, n // 3) ELSE 32 END AS win, CASE WHEN n >= 8 AND n < 32 THEN greatest(1, n // 10) ELSE 8 END AS step FROM sized),
 wins AS (SELECT source, payload_id, unnest(range(0, n - win + 1, step))::INTEGER AS offs, win::INTEGER AS win FROM dims WHERE n >= win)"""
     head = _bytes("").rstrip().replace("bytes AS (SELECT source, payload_id, pos, b FROM pairs", "bytes AS (SELECT source, payload_id, pos, pos // 32 AS blk, b FROM pairs")
     out["sliding_entropy"] = head + wins + ", spread AS (SELECT source, payload_id, offs, win, unnest(CASE WHEN offs // 32 = (offs + win - 1) // 32 THEN [offs // 32] ELSE [offs // 32, offs // 32 + 1] END) AS blk FROM wins)\nSELECT source, payload_id, offs AS \"offset\", win AS window_size, round_even(h, 3) AS entropy, h >= 6.5 AS is_spike FROM (SELECT source, payload_id, offs, win, 0.0 - sum(c * 1.0 / win * log2(c * 1.0 / win)) AS h FROM (SELECT w.source, w.payload_id, offs, win, b, count(*) AS c FROM spread w JOIN bytes y ON y.source = w.source AND y.payload_id = w.payload_id AND y.blk = w.blk WHERE y.pos BETWEEN w.offs AND w.offs + w.win - 1 GROUP BY ALL) GROUP BY ALL)"
+    body = lambda name: out[name]
+    tables = lambda name: f"(SELECT * FROM ({body(name)}))"
+    out["entropy_profile"] = f"""SELECT e.source, e.payload_id, e.total_bytes, e.entropy AS shannon_entropy, k.classification, k.is_suspicious AS is_suspicious_entropy, printable_pct, whitespace_pct, control_pct, high_bit_pct, special_pct, coalesce(windows, 0)::BIGINT AS windows, coalesce(spikes, 0)::BIGINT AS spikes, coalesce(milli, 0)::BIGINT AS window_milli,
+  array_to_string(list_transform(range(256), lambda i: coalesce(d[i], 0)), ',') AS byte_distribution, coalesce(top, '') AS byte_frequencies
+FROM {tables("byte_entropy")} e JOIN {tables("entropy_class")} k USING (source, payload_id) JOIN {tables("char_classes")} c USING (source, payload_id)
+LEFT JOIN (SELECT source, payload_id, map_from_entries(list((b::BIGINT, n))) AS d FROM {tables("byte_histogram")} GROUP BY ALL) USING (source, payload_id)
+LEFT JOIN (SELECT source, payload_id, string_agg(rank || ':' || b || ':' || n, ',' ORDER BY rank) AS top FROM {tables("top_bytes")} GROUP BY ALL) USING (source, payload_id)
+LEFT JOIN (SELECT source, payload_id, count(*) AS windows, count(*) FILTER (WHERE is_spike) AS spikes, sum(round(entropy * 1000)::BIGINT) AS milli FROM {tables("sliding_entropy")} GROUP BY ALL) USING (source, payload_id)"""
+    out["markov_profile"] = f"""SELECT s.source, s.payload_id, z.n AS payload_length, transition_entropy, kl_divergence, simhash, ('0x' || simhash)::UBIGINT::VARCHAR AS simhash_int, m AS minhash_signature, transition_entropy > 5.5 OR kl_divergence > 4.5 AS is_anomalous_markov, coalesce(top, '') AS top_bigrams, c.score AS shellcode_score, c.is_probable_shellcode, c.indicators AS shellcode_indicators
+FROM {tables("simhash")} s JOIN {tables("transition_entropy")} t USING (source, payload_id) JOIN {tables("kl_divergence")} k USING (source, payload_id) JOIN {tables("shellcode_report")} c USING (source, payload_id)
+JOIN (SELECT source, payload_id, string_agg(value, ',' ORDER BY perm) AS m FROM {tables("minhash")} GROUP BY ALL) USING (source, payload_id)
+JOIN ({_bytes(f"SELECT {keys}, n FROM sized", _HEX2)}) z USING (source, payload_id)
+LEFT JOIN (SELECT source, payload_id, string_agg(gram || '=' || round(freq * 100000)::BIGINT, ',' ORDER BY rank) AS top FROM {tables("top_bigrams")} GROUP BY ALL) USING (source, payload_id)"""
     return {name: _rounded(sql) for name, sql in out.items()}
 
 
