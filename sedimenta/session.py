@@ -57,4 +57,30 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sedimenta-scratch-")
         spark.conf.set("spark.sedimenta.scratch", base)
-    return f"{base.rstrip('/')}/sedimenta/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{base.rstrip('/')}/sedimenta/{name}-{uuid.uuid4().hex[:12]}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+#: Scratch folders by application, in the order in which they were made.
+_made: dict[str, list[str]] = {}
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    """How many scratch folders there have been: release() from here removes those made later."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Delete folders that no result reads any more; missing ones are ignored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession, mark: int = 0) -> None:
+    """Delete the scratch folders made since mark (all, if none is given); results that read them are gone after it."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    discard(spark, *(f for f in made[mark:] if f))
+    made[mark:] = [""] * len(made[mark:])
