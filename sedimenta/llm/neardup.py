@@ -2,7 +2,7 @@
 
 1. Every text becomes the set of its distinct five-word shingles (64-bit hashes), a 128-bit key of that set and its
    minwise tokens under 64 hash functions. Equal keys are one class, so exact copies cost one row from here on.
-2. Sixteen independent trees branch the classes: the node of a class is named by the tree's first minwise token; a
+2. Sixteen independent trees (twenty for targets under .85) branch the classes: the node of a class is named by the tree's first minwise token; a
    node of more than NODE classes is branched again by the tree's next token, up to DEPTH. Small nodes are compared
    exhaustively on 4-bit sketches, with a threshold far below the target; nodes still large at the last depth are
    taken as alike. Both give a spanning forest of possible links only, never all pairs.
@@ -13,7 +13,8 @@
 
 A pair at the target similarity .85 meets in a node of one token with probability .85 in each tree, so it's missed with
 probability .15**16; in a node at the last depth, (1 - .85**3)**16 = 3e-7. Its sketch falls below the possible-link
-threshold (40 of 64 equal) with probability 1e-6 or less.
+threshold (40 of 64 equal) with probability 1e-6 or less. For a target of .80, twenty trees miss it with (1 - .8**3)**20 =
+6e-7, and the threshold is 35 of 64.
 
 Null and empty texts and texts without words have an empty set and link with nothing. Texts under five words are one
 shingle. Rows that repeat a document id are each given; equal sets under one id count as that id once. A row
@@ -30,15 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sedimenta.llm.graph import components
 from sedimenta.llm.words import hashed_texts, jaccard_at_least, mix, shingle_set
-from sedimenta.session import scratch
+from sedimenta.session import discard, scratch
 
 PERCENT = 85
-TREES, DEPTH, NODE = 16, 3, 512
+DEPTH, NODE = 3, 512
 PERMUTATIONS = 64
-POSSIBLE = 40
 BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 128, 32, 4096
 
 _rng = np.random.default_rng(977)
@@ -46,6 +47,15 @@ _FACTORS = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2)
 _NIBBLES = np.uint64(0x1111111111111111)
 
 
+def trees_for(percent: int) -> int:
+    return 16 if percent >= 85 else 20
+
+
+def possible_for(percent: int) -> int:
+    """Equal sketch places, of PERMUTATIONS, from which a pair may link."""
+    return 40 if percent >= 85 else 35
+
+
 def minwise(shingles: np.ndarray) -> np.ndarray:
     """The minwise tokens of a set, uint32 by permutation; long sets are taken in pieces."""
     out = np.full(PERMUTATIONS, 2**32 - 1, np.uint64)
@@ -75,7 +85,7 @@ def sketch_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n int, key binary, tokens binary")
 
 
-def _nodes(classes: DataFrame, depth: int) -> DataFrame:
+def _nodes(classes: DataFrame, depth: int, trees: int) -> DataFrame:
     """A row for each class and wanted tree: its node at this depth, set size, key and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +96,7 @@ def _nodes(classes: DataFrame, depth: int) -> DataFrame:
             sketch = (four[:, ::2] | four[:, 1::2] << 4).tobytes()
             sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), n, [None, pa.py_buffer(sketch)]).cast(pa.binary())
             wanted = batch.column(3).to_pylist() if batch.num_columns > 3 else None
-            for tree in range(TREES):
+            for tree in range(trees):
                 h = np.full(n, tree + 1, np.uint64)
                 for level in range(depth):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + tokens[:, tree * DEPTH + level])
@@ -107,15 +117,15 @@ def _find(up: np.ndarray, i: int) -> int:
 
 
 def possible_links(keys: list[bytes], sizes: np.ndarray, sketches: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the pairs of a node that may link: comparable sizes, POSSIBLE equal sketch places."""
-    up, out = np.arange(len(keys)), []
+    """A spanning forest of the pairs of a node that may link: comparable sizes, enough equal sketch places."""
+    up, out, least = np.arange(len(keys)), [], possible_for(percent)
     for i in range(len(keys) - 1):
         x = sketches[i + 1 :] ^ sketches[i]
         x |= x >> np.uint64(1)
         x |= x >> np.uint64(2)
         equal = PERMUTATIONS - np.bitwise_count(x & _NIBBLES).sum(1)
         rest = sizes[i + 1 :]
-        for j in np.flatnonzero((equal >= POSSIBLE) & (100 * np.minimum(rest, sizes[i]) >= percent * np.maximum(rest, sizes[i]))):
+        for j in np.flatnonzero((equal >= least) & (100 * np.minimum(rest, sizes[i]) >= percent * np.maximum(rest, sizes[i]))):
             p, q = _find(up, i), _find(up, i + 1 + int(j))
             if p != q:
                 up[q] = p
@@ -169,10 +179,10 @@ def _compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
 
 def candidate_links(classes: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
     """Possible links (a, b) between the classes (key, n, tokens), from all trees and depths."""
-    spark, light, last = classes.sparkSession, [], None
+    spark, light, last, trees = classes.sparkSession, [], None, trees_for(percent)
     live = classes.select("key", "n", "tokens")
     for depth in range(1, DEPTH + 1):
-        rows = _nodes(live, depth)
+        rows = _nodes(live, depth, trees)
         if depth > 1:  # these are few, and are read three times
             rows.write.parquet(f"{folder}/rows-{depth}")
             rows = spark.read.parquet(f"{folder}/rows-{depth}")
@@ -183,7 +193,7 @@ def candidate_links(classes: DataFrame, folder: str, percent: int = PERCENT) ->
             break
         heavy = rows.join(large, "node", "left_semi")
         if depth < DEPTH:
-            _trees(heavy, classes, depth).write.parquet(f"{folder}/live-{depth}")
+            _trees(heavy, classes, depth, trees).write.parquet(f"{folder}/live-{depth}")
             live = spark.read.parquet(f"{folder}/live-{depth}")
         else:
             heads = heavy.groupBy("node").agg(F.min("key").alias("b"))
@@ -195,16 +205,16 @@ def candidate_links(classes: DataFrame, folder: str, percent: int = PERCENT) ->
     return (out if last is None else out.unionByName(last)).distinct()
 
 
-def _trees(heavy: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+def _trees(heavy: DataFrame, classes: DataFrame, depth: int, trees: int) -> DataFrame:
     """(key, n, tokens, tree) for the rows of large nodes: which tree a node belongs to follows from its tokens."""
-    return heavy.select("key", "node").join(classes.select("key", "n", "tokens"), "key").mapInArrow(lambda batches: _with_tree(batches, depth), "key binary, n int, tokens binary, tree int")
+    return heavy.select("key", "node").join(classes.select("key", "n", "tokens"), "key").mapInArrow(lambda batches: _with_tree(batches, depth, trees), "key binary, n int, tokens binary, tree int")
 
 
-def _with_tree(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+def _with_tree(batches: Iterator[pa.RecordBatch], depth: int, trees: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(len(batch), PERMUTATIONS)
         node, tree = np.asarray(batch.column(1)).view(np.uint64), np.zeros(len(batch), np.int32)
-        for t in range(TREES):
+        for t in range(trees):
             h = np.full(len(batch), t + 1, np.uint64)
             for level in range(depth):
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + tokens[:, t * DEPTH + level])
@@ -256,7 +266,7 @@ def true_links(keys: list[bytes], data: list[np.ndarray], side: np.ndarray, perc
     for i in range(n - 1):
         rest = np.arange(i + 1, n)
         fit = (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])) & ((side[rest] != side[i]) | (side[i] == 2))
-        fit &= (tokens[rest] == tokens[i]).sum(1) >= POSSIBLE - 6
+        fit &= (tokens[rest] == tokens[i]).sum(1) >= possible_for(percent) - 6
         for j in rest[fit].tolist():
             p, q = _find(up, i), _find(up, j)
             if p != q and jaccard_at_least(data[i], data[j], percent):
@@ -267,6 +277,11 @@ def true_links(keys: list[bytes], data: list[np.ndarray], side: np.ndarray, perc
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, folder: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (least document id reachable) and kept (doc_id is component_id) of every row."""
+    return _grouped(docs, id_col, text_col, percent, folder).drop("key")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, folder: str | None = None) -> DataFrame:
+    """near_duplicates() with the key of each row's set, null for empty ones."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "neardup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -288,7 +303,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     placed.join(named, "root").select("key", "component_id").write.parquet(f"{folder}/named")
     named = spark.read.parquet(f"{folder}/named")
+    steps = [f"{x}-{d}" for x in ("rows", "large", "live") for d in range(1, DEPTH + 1)]
+    discard(spark, *(f"{folder}/{x}" for x in (*steps, "classes", "candidates", "possible", "links", "linked", "placed")))
     n = F.col("n").cast("long").alias("n_shingles")
-    some = full.select("doc_id", n, "key").join(named, "key").select("doc_id", "n_shingles", "component_id")
-    none = sketches.where("key is null").select("doc_id", n, F.col("doc_id").alias("component_id"))
+    some = full.select("doc_id", n, "key").join(named, "key").select("doc_id", "n_shingles", "component_id", "key")
+    none = sketches.where("key is null").select("doc_id", n, F.col("doc_id").alias("component_id"), "key")
     return some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, but for those that aren't kept; rows of null ids stay.
+
+    Ids decide where all rows of an id go or stay together. Where they don't, an id being shared by texts of different
+    groups, the rows of these ids get the key of their set and go by id and key.
+    """
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession, "keep-one")
+    found = _grouped(docs, id_col, text_col, percent).where("doc_id is not null").select(F.col("doc_id").alias("__gone"), (~F.col("kept")).alias("goes"), "key")
+    found.groupBy("__gone").agg(F.max("goes").alias("some"), F.min("goes").alias("every")).where("some").write.parquet(f"{folder}/ids")
+    ids = spark.read.parquet(f"{folder}/ids")
+    mine = F.col(id_col).cast("long")
+    left = docs.join(ids.where("every"), mine == F.col("__gone"), "left_anti")
+    shared = ids.where("not every").select("__gone")
+    if not shared.limit(1).count():
+        return left
+    keys = found.where("goes").join(shared, "__gone").select("__gone", F.col("key").alias("__gone_key")).distinct()
+    mixed = _with_key(left.join(shared, mine == F.col("__gone"), "left_semi"), text_col)
+    stay = mixed.join(keys, (mine == F.col("__gone")) & (F.col("__key") == F.col("__gone_key")), "left_anti").drop("__key")
+    return left.join(shared, mine == F.col("__gone"), "left_anti").unionByName(stay)
+
+
+def _with_key(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs and the key of each row's set."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for _, words, edges in hashed_texts(batch.column(at).cast(pa.string())):
+                keys += [set_key(shingle_set(words[a:b])) if b > a else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "__key"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())]))

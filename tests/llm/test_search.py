@@ -94,13 +94,13 @@ def shingles(t):
     return frozenset(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows}
     up = {i: i for i in sets}
     find = lambda i: i if up[i] == i else find(up[i])
     for a, b in itertools.combinations(sorted(sets), 2):
         x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 85 * len(x | y):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
             p, q = sorted((find(a), find(b)))
             up[q] = p
     return {i: (len(sets[i]), find(i)) for i in sets}
