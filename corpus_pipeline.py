@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import byte_bpe, decontam, neardup, toxicity
-from sedimenta.session import scratch, ship
+from sedimenta.session import discard, release, scratch, scratch_mark, ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +24,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, model)
 
 
+#: Share of common five-word shingles, in percent, from which documents are near-duplicates here.
+SIMILAR = 80
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group; rows that repeat an id stay or go together, null ids stay."""
+    """The document of the least id of each group.
+
+    A row goes if its own id and text aren't kept, so a text of its own stays though it shares an id with a copy that goes;
+    rows that repeat both stay or go together. Null ids stay.
+    """
     ship(spark)
-    dropped = neardup.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return neardup.keep_one(docs, percent=SIMILAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn over documents, each written and read again."""
+    """Every stage in turn over documents, each written and read again; what a stage read and left behind goes after it."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = scratch(spark, "pipeline")
+    folder, before = scratch(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
+        mark = scratch_mark(spark)
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        release(spark, mark)
+        if before:
+            discard(spark, before)
+        before = f"{folder}/{k}-{name}"
     return docs
