@@ -159,7 +159,12 @@ def respond(spark: SparkSession, method: str, path: str, origin: str | None, bod
         return 400, {"error": "Invalid JSON"}
     if route not in ROUTES:
         return 404, {"error": f"Endpoint not found: {route}"}
-    out = call(spark, ROUTES[route], arguments)
+    try:
+        out = call(spark, ROUTES[route], arguments)
+    except (TypeError, ValueError) as e:
+        return 400, {"error": f"Unusable argument: {e}"}
+    except Exception as e:  # an answer rather than a closed connection
+        return 500, {"error": f"{type(e).__name__}: {e}"}
     if route == "/api/waf":
         out = {"threat": out["threat"], "severity": out["severity"], "rules": {k: out[k] for k in rules.FAMILIES}}
     return 200, out
@@ -170,7 +175,11 @@ def http_server(spark: SparkSession, host: str = "127.0.0.1", port: int = 8080)
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self, method: str) -> None:
-            body = self.rfile.read(int(self.headers.get("Content-Length") or 0)) if method == "POST" else b""
+            length = self.headers.get("Content-Length") or "0"
+            if not length.isdecimal():
+                self.send_error(400, "Unusable Content-Length")
+                return
+            body = self.rfile.read(int(length)) if method == "POST" else b""
             status, out = respond(spark, method, self.path, self.headers.get("Origin"), body)
             data = json.dumps(out).encode()
             self.send_response(status)
@@ -193,19 +202,30 @@ def http_server(spark: SparkSession, host: str = "127.0.0.1", port: int = 8080)
 
 def safe_join(base: str | Path, *parts: str) -> Path:
     """base / parts, which has to stay below base."""
-    root = Path(base).expanduser().resolve()
+    root = normalize_path(base)
     target = root.joinpath(*parts).resolve()
     if not target.is_relative_to(root):
         raise PermissionError(f"{target} is outside {root}")
     return target
 
 
+def normalize_path(path: str | Path) -> Path:
+    """The absolute path, with ~ and links resolved; it needn't be there."""
+    return Path(path).expanduser().resolve()
+
+
+def ensure_dir(path: str | Path) -> Path:
+    """The normalized path of a folder, made with its parents if it isn't there."""
+    folder = normalize_path(path)
+    folder.mkdir(parents=True, exist_ok=True)
+    return folder
+
+
 def storage_dir() -> Path:
     """Where reports of one machine go, made if it isn't there."""
     home = Path.home()
     base = Path(os.environ.get("LOCALAPPDATA", home)) / "sedimenta" if sys.platform.startswith("win") else home / "Library/Application Support/sedimenta" if sys.platform == "darwin" else home / ".local/share/sedimenta"
-    base.mkdir(parents=True, exist_ok=True)
-    return base
+    return ensure_dir(base)
 
 
 def text_of(value: str) -> str:
@@ -222,22 +242,55 @@ def text_of(value: str) -> str:
 COMMANDS = {"analyze": "payload_analyze", "deobfuscate": "payload_deobfuscate", "entropy": "payload_entropy", "waf": "payload_waf_rules", "polyglot": "payload_polyglot_audit", "ast": "payload_ast_obfuscation", "markov": "payload_markov_profile", "lsh": "payload_lsh_fingerprint", "shellcode": "payload_detect_shellcode"}
 
 
+#: Other names of commands.
+ALIASES = {"lsh": ("simhash", "fingerprint"), "diagnostics": ("doctor", "platform"), "status": (), "rpc": ("mcp",), "serve": ()}
+
+
+def table(rows: list[list[object]]) -> str:
+    """Rows as text, each column as wide as its widest cell."""
+    cells = [[" ".join(str(x).split()) for x in row] for row in rows]
+    widths = [max(map(len, column)) for column in zip(*cells, strict=True)]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(row, widths, strict=True)).rstrip() for row in cells)
+
+
+def as_text(report: dict) -> str:
+    """A report as text: its single values as a table of names and values, then a table or a list for each of its lists."""
+    single = [[k, v] for k, v in report.items() if not isinstance(v, (dict, list))]
+    parts = [table(single)] if single else []
+    for name, value in report.items():
+        if isinstance(value, dict):
+            parts.append(f"{name}\n{as_text(value) if value else '-'}")
+        elif isinstance(value, list):
+            if value and all(isinstance(x, dict) for x in value):
+                names = list(dict.fromkeys(k for x in value for k in x))
+                parts.append(f"{name}\n" + table([names, *([x.get(k, "") for k in names] for x in value)]))
+            else:
+                parts.append(f"{name}\n" + ("\n".join(f"- {x}" for x in value) or "-"))
+    return "\n\n".join(parts)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="sedimenta")
     sub = parser.add_subparsers(dest="command", required=True)
     for name in COMMANDS:
-        p = sub.add_parser(name)
+        p = sub.add_parser(name, aliases=ALIASES.get(name, ()))
+        p.set_defaults(command=name)
+        p.add_argument("--text", action="store_true", help="tables instead of JSON")
         p.add_argument("payload", help="text, or the name of a file")
         p.add_argument("-w", "--window-size", type=int, default=32)
         p.add_argument("-n", "--ngram-order", type=int, default=2)
         p.add_argument("-c", "--compare-with")
         p.add_argument("-t", "--type", choices=("all", "modsecurity", "cloudflare", "aws", "suricata"), default="all")
         p.add_argument("--hex", action="store_true")
-    for name in ("diagnostics", "rpc", "serve"):
-        sub.add_parser(name).add_argument("--port", type=int, default=8080)
+    for name in ("diagnostics", "status", "rpc", "serve"):
+        p = sub.add_parser(name, aliases=ALIASES[name])
+        p.set_defaults(command=name)
+        p.add_argument("--text", action="store_true", help="tables instead of JSON")
+        p.add_argument("--port", type=int, default=8080)
     a = parser.parse_args(args)
-    if a.command == "diagnostics":
-        print(json.dumps(diagnostics(), indent=2))
+    shown = as_text if a.text else lambda out: json.dumps(out, indent=2, ensure_ascii=False)
+    if a.command in ("diagnostics", "status"):
+        print(shown(diagnostics() if a.command == "diagnostics" else {k: diagnostics()[k] for k in ("tool", "version", "status")}))
         return 0
     spark = spark or local_session(2, "sedimenta")
     if a.command == "rpc":
@@ -249,7 +302,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "waf" and a.type != "all":
         print(out["aws_waf" if a.type == "aws" else a.type])
     else:
-        print(json.dumps(out, indent=2, ensure_ascii=False))
+        print(shown(out))
     return 0
 
 
