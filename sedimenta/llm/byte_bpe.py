@@ -20,12 +20,11 @@ from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TABLE_WORDS, LONG_PIECE = 200_000, 256
-#: Fixed value: the pattern of the vocabulary's pre-tokenizer.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=2)
