@@ -44,14 +44,13 @@ def top_of(raw: bytes, most: int = 10) -> list[dict]:
     return [{"rank": i + 1, "b": b, "n": int(c[b])} for i, b in enumerate(rank)]
 
 
-def window_arrays(raw: bytes, window: int = 32, step: int = 8) -> tuple[list[int], list[int], list[float], list[bool]]:
-    """(offset, window size, entropy, spike) of every full window; payloads of 8 bytes or more that are shorter than a window
-    get smaller ones."""
+def _windows(raw: bytes, window: int, step: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Offsets, size and entropies of every full window."""
     n = len(raw)
     if 8 <= n < window:
         window, step = max(4, n // 3), max(1, n // 10)
     if n == 0 or n < window:
-        return [], [], [], []
+        return np.empty(0, np.int64), window, np.empty(0)
     data = np.frombuffer(raw, np.uint8)
     starts = np.arange(0, n - window + 1, step)
     entropies = np.zeros(len(starts))
@@ -64,9 +63,23 @@ def window_arrays(raw: bytes, window: int = 32, step: int = 8) -> tuple[list[int
         first = np.flatnonzero(new.ravel())
         size = np.diff(np.append(first, part.size))
         entropies[at : at + 4096] = 0.0 - np.bincount(first // window, terms[size], len(part))
+    return starts, window, entropies
+
+
+def window_arrays(raw: bytes, window: int = 32, step: int = 8) -> tuple[list[int], list[int], list[float], list[bool]]:
+    """(offset, window size, entropy, spike) of every full window; payloads of 8 bytes or more that are shorter than a window
+    get smaller ones."""
+    starts, window, entropies = _windows(raw, window, step)
     return starts.tolist(), [window] * len(starts), round_all(entropies, 3), (entropies >= 6.5).tolist()
 
 
+def window_sums(raw: bytes, window: int = 32, step: int = 8) -> tuple[int, int, int]:
+    """Number of windows, of spikes, and the sum of entropies in thousandths, each rounded as in window_arrays."""
+    entropies = _windows(raw, window, step)[2]
+    milli = sum(int(np.rint(np.multiply(round_all(entropies[at : at + 4096], 3), 1000)).sum()) for at in range(0, len(entropies), 4096))
+    return len(entropies), int((entropies >= 6.5).sum()), milli
+
+
 def windows_of(raw: bytes, window: int = 32, step: int = 8) -> list[dict]:
     names = ("offset", "window_size", "entropy", "is_spike")
     return [dict(zip(names, w, strict=True)) for w in zip(*window_arrays(raw, window, step), strict=True)]
@@ -208,3 +221,18 @@ def profile_of(r: bytes, window: int = 32, step: int = 8) -> tuple:
 
 def entropy_profile(df: DataFrame, window: int = 32, step: int = 8) -> DataFrame:
     return per_payload(df, _raw(df), PROFILE, lambda r: profile_of(r, window, step))
+
+
+SUMMARY = "total_bytes long, shannon_entropy double, classification string, is_suspicious_entropy boolean, printable_pct double, whitespace_pct double, control_pct double, high_bit_pct double, special_pct double, windows long, spikes long, window_milli long, byte_distribution string, byte_frequencies string"
+
+
+def summary_of(r: bytes) -> tuple:
+    c = counts_of(r)
+    h = entropy_of(c)
+    top = ",".join(f"{t['rank']}:{t['b']}:{t['n']}" for t in top_of(r))
+    return len(r), round(h, 4), class_of(h), h >= 5.6, *(round(x, 2) for x in classes_of(c)), *window_sums(r), ",".join(map(str, c.tolist())), top
+
+
+def entropy_summary(df: DataFrame) -> DataFrame:
+    """The profile in flat columns: windows by number, spikes and sum of thousandths; no window leaves the worker."""
+    return per_payload(df, _raw(df), SUMMARY, summary_of)

@@ -16,12 +16,7 @@ def _joined(c: str) -> Column:
 
 def entropy_profile(df: DataFrame) -> DataFrame:
     """The profile; windows by number, spikes and sum of thousandths. The compression ratio is a query of its own."""
-    p = bytestats.entropy_profile(df).where("total_bytes is not null")
-    w = F.col("sliding_window_profile")
-    milli = F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.round(x["entropy"] * 1000).cast("long"))
-    top = F.array_join(F.transform("byte_frequencies", lambda x: F.concat_ws(":", x["rank"], x["b"], x["n"])), ",")
-    spikes = F.size(F.filter(w, lambda x: x["is_spike"])).cast("long")
-    return p.select("source", "payload_id", "total_bytes", "shannon_entropy", "classification", "is_suspicious_entropy", "char_classes.*", F.size(w).cast("long").alias("windows"), spikes.alias("spikes"), milli.alias("window_milli"), F.array_join("byte_distribution_256", ",").alias("byte_distribution"), top.alias("byte_frequencies"))
+    return bytestats.entropy_summary(df.where("payload is not null"))
 
 
 def markov_profile(df: DataFrame) -> DataFrame:
