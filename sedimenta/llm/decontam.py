@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.words import chained, hashed_texts, letters_only
-from sedimenta.session import scratch
+from sedimenta.session import give_back, scratch
 
 TERM_BITS, PASSAGE = 15, 32
 TERMS = 1 << TERM_BITS
@@ -409,6 +409,7 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     for k, (ids, words) in enumerate(_blocks_of(benchmark, item_col, item_text, False)):
         space = space or fit(hashed)
         blocks.append(_keep(f"{folder}/items/{k}", prepare(ids, [(w >> np.uint64(32)).astype(np.uint32) for w in words], space)))
+    give_back()
     return hashed, space, tuple(blocks), short
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.session import scratch
+from sedimenta.session import scratch, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", folder: str | None = None) -> DataFrame:
@@ -16,29 +16,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", folder: str | None
     adaptive execution can split. Rounds are cut by written tables, which survive lost executors. Null nodes and
     self-loops are ignored; no edges give no rows.
     """
-    spark = edges.sparkSession
-    folder = folder or scratch(spark, "components")
+    folder = folder or scratch(edges.sparkSession, "components")
     x, y = F.col(a), F.col(b)
     kept = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
-    kept.write.parquet(f"{folder}/edges-0")
-    live = spark.read.parquet(f"{folder}/edges-0")
-    live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")).write.parquet(f"{folder}/roots-0")
-    roots = spark.read.parquet(f"{folder}/roots-0")
+    live = written(kept, f"{folder}/edges-0")
+    roots = written(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), f"{folder}/roots-0")
     k = 0
-    while live.limit(1).count():
+    while not live.isEmpty():
         k += 1
-        live.groupBy("a").agg(F.min("b").alias("up")).write.parquet(f"{folder}/hooks-{k}")
-        hooks = spark.read.parquet(f"{folder}/hooks-{k}")
+        hooks = written(live.groupBy("a").agg(F.min("b").alias("up")), f"{folder}/hooks-{k}")
         over = hooks.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        jumps = hooks.join(over, "up", "left").select("a", F.coalesce("top", "up").alias("to"))
-        jumps.write.parquet(f"{folder}/jumps-{k}")
-        jumps = spark.read.parquet(f"{folder}/jumps-{k}")
+        jumps = written(hooks.join(over, "up", "left").select("a", F.coalesce("top", "up").alias("to")), f"{folder}/jumps-{k}")
         at_a = jumps.select("a", F.col("to").alias("na"))
         at_b = jumps.select(F.col("a").alias("b"), F.col("to").alias("nb"))
         moved = live.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("na", "a").alias("p"), F.coalesce("nb", "b").alias("q"))
-        moved.where("p != q").select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct().write.parquet(f"{folder}/edges-{k}")
-        live = spark.read.parquet(f"{folder}/edges-{k}")
+        live = written(moved.where("p != q").select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct(), f"{folder}/edges-{k}")
         at_root = jumps.select(F.col("a").alias("root"), F.col("to").alias("nr"))
-        roots.join(at_root, "root", "left").select("node", F.coalesce("nr", "root").alias("root")).write.parquet(f"{folder}/roots-{k}")
-        roots = spark.read.parquet(f"{folder}/roots-{k}")
+        roots = written(roots.join(at_root, "root", "left").select("node", F.coalesce("nr", "root").alias("root")), f"{folder}/roots-{k}")
     return roots

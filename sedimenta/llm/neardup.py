@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from sedimenta.llm.graph import components
 from sedimenta.llm.words import hashed_texts, jaccard_at_least, mix, shingle_set
-from sedimenta.session import discard, scratch
+from sedimenta.session import discard, scratch, written
 
 PERCENT = 85
 DEPTH, NODE = 3, 512
@@ -179,22 +179,19 @@ def _compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
 
 def candidate_links(classes: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
     """Possible links (a, b) between the classes (key, n, tokens), from all trees and depths."""
-    spark, light, last, trees = classes.sparkSession, [], None, trees_for(percent)
+    light, last, trees = [], None, trees_for(percent)
     live = classes.select("key", "n", "tokens")
     for depth in range(1, DEPTH + 1):
         rows = _nodes(live, depth, trees)
         if depth > 1:  # these are few, and are read three times
-            rows.write.parquet(f"{folder}/rows-{depth}")
-            rows = spark.read.parquet(f"{folder}/rows-{depth}")
-        rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(f"size > {NODE}").write.parquet(f"{folder}/large-{depth}")
-        large = spark.read.parquet(f"{folder}/large-{depth}").select("node")
+            rows = written(rows, f"{folder}/rows-{depth}")
+        large = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(f"size > {NODE}"), f"{folder}/large-{depth}").select("node")
         light.append(rows.join(large, "node", "left_anti"))
-        if not large.limit(1).count():
+        if large.isEmpty():
             break
         heavy = rows.join(large, "node", "left_semi")
         if depth < DEPTH:
-            _trees(heavy, classes, depth, trees).write.parquet(f"{folder}/live-{depth}")
-            live = spark.read.parquet(f"{folder}/live-{depth}")
+            live = written(_trees(heavy, classes, depth, trees), f"{folder}/live-{depth}")
         else:
             heads = heavy.groupBy("node").agg(F.min("key").alias("b"))
             last = heavy.join(heads, "node").where("key != b").select(F.col("key").alias("a"), "b")
@@ -282,29 +279,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, folder: str | None = None) -> DataFrame:
     """near_duplicates() with the key of each row's set, null for empty ones."""
-    spark = docs.sparkSession
-    folder = folder or scratch(spark, "neardup")
+    folder = folder or scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch_sets(docs).write.parquet(f"{folder}/sketches")
-    sketches = spark.read.parquet(f"{folder}/sketches")
+    sketches = written(sketch_sets(docs), f"{folder}/sketches")
     full = sketches.where("key is not null")
-    full.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n", "tokens")).alias("x"), F.min("doc_id").alias("least")).select("key", F.col("x.doc_id").alias("rep"), "least", "x.n", "x.tokens").write.parquet(f"{folder}/classes")
-    classes = spark.read.parquet(f"{folder}/classes")
-    candidate_links(classes.where("rep is not null"), folder, percent).write.parquet(f"{folder}/candidates")
-    clusters = components(spark.read.parquet(f"{folder}/candidates"), folder=f"{folder}/possible")
+    least = full.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n", "tokens")).alias("x"), F.min("doc_id").alias("least"))
+    classes = written(least.select("key", F.col("x.doc_id").alias("rep"), "least", "x.n", "x.tokens"), f"{folder}/classes")
+    candidates = written(candidate_links(classes.where("rep is not null"), folder, percent), f"{folder}/candidates")
+    clusters = components(candidates, folder=f"{folder}/possible")
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / F.least(F.lit(LARGEST_BLOCK), F.greatest(F.lit(BLOCK), F.ceil(F.col("size") / MOST_BLOCKS)))).cast("int")
     members = clusters.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("cluster"), blocks.alias("blocks")).join(classes.select("key", "rep"), "key")
-    confirmed_links(docs, members, percent).write.parquet(f"{folder}/links")
-    linked = components(spark.read.parquet(f"{folder}/links"), folder=f"{folder}/linked")
+    linked = components(written(confirmed_links(docs, members, percent), f"{folder}/links"), folder=f"{folder}/linked")
     placed = classes.select("key", "least").join(linked.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    placed.write.parquet(f"{folder}/placed")
-    placed = spark.read.parquet(f"{folder}/placed")
+    placed = written(placed, f"{folder}/placed")
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed.join(named, "root").select("key", "component_id").write.parquet(f"{folder}/named")
-    named = spark.read.parquet(f"{folder}/named")
+    named = written(placed.join(named, "root").select("key", "component_id"), f"{folder}/named")
     steps = [f"{x}-{d}" for x in ("rows", "large", "live") for d in range(1, DEPTH + 1)]
-    discard(spark, *(f"{folder}/{x}" for x in (*steps, "classes", "candidates", "possible", "links", "linked", "placed")))
+    discard(docs.sparkSession, *(f"{folder}/{x}" for x in (*steps, "classes", "candidates", "possible", "links", "linked", "placed")))
     n = F.col("n").cast("long").alias("n_shingles")
     some = full.select("doc_id", n, "key").join(named, "key").select("doc_id", "n_shingles", "component_id", "key")
     none = sketches.where("key is null").select("doc_id", n, F.col("doc_id").alias("component_id"), "key")
@@ -317,14 +309,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     Ids decide where all rows of an id go or stay together. Where they don't, an id being shared by texts of different
     groups, the rows of these ids get the key of their set and go by id and key.
     """
-    spark, folder = docs.sparkSession, scratch(docs.sparkSession, "keep-one")
+    folder = scratch(docs.sparkSession, "keep-one")
     found = _grouped(docs, id_col, text_col, percent).where("doc_id is not null").select(F.col("doc_id").alias("__gone"), (~F.col("kept")).alias("goes"), "key")
-    found.groupBy("__gone").agg(F.max("goes").alias("some"), F.min("goes").alias("every")).where("some").write.parquet(f"{folder}/ids")
-    ids = spark.read.parquet(f"{folder}/ids")
+    ids = written(found.groupBy("__gone").agg(F.max("goes").alias("some"), F.min("goes").alias("every")).where("some"), f"{folder}/ids")
     mine = F.col(id_col).cast("long")
     left = docs.join(ids.where("every"), mine == F.col("__gone"), "left_anti")
     shared = ids.where("not every").select("__gone")
-    if not shared.limit(1).count():
+    if shared.isEmpty():
         return left
     keys = found.where("goes").join(shared, "__gone").select("__gone", F.col("key").alias("__gone_key")).distinct()
     mixed = _with_key(left.join(shared, mine == F.col("__gone"), "left_semi"), text_col)
